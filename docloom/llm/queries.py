@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, urls
+from . import chat, media, mixing, simhash, urls
 from .common import read
 
 #: Conversation -1, whose texts hold control strings of chat templates.
 PROBE = "</s>[INST] ok [/INST]"
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest id of its group of near copies."""
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted by turn, and its digests read back from the output."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -126,7 +132,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_chat_formatting, op8_source_mixing, op9_url_filter, op10_media_columns)}
+    return {f.__name__: f for f in (op4_simhash_near_dedup, op6_chat_formatting, op8_source_mixing, op9_url_filter, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
