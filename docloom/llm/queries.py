@@ -7,13 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, simhash, urls
+from . import chat, line_dedup, media, mixing, simhash, urls
 from .common import read
 
 #: Conversation -1, whose texts hold control strings of chat templates.
 PROBE = "</s>[INST] ok [/INST]"
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of runs of 50 words or more that occur earlier."""
+    return line_dedup.drop_repeated_lines(read(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH split AS (
+    SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents
+), numbered AS (
+    SELECT doc_id, unnest(parts) AS string, unnest(range(len(parts))) AS line FROM split
+), lines AS (
+    SELECT *, len(regexp_extract_all(string, '[^\x20\x09-\x0D]+')) AS words FROM numbered
+), counted AS (
+    SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY line) AS upto FROM lines WHERE words > 0
+), wins AS (
+    SELECT doc_id, min(line) OVER f AS a, max(line) OVER f AS z, list(string) OVER f AS content, sum(words) OVER f AS total
+    FROM counted WINDOW f AS (PARTITION BY doc_id ORDER BY upto - words RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+    UNION ALL
+    SELECT doc_id, min(line) OVER f, max(line) OVER f, list(string) OVER f, sum(words) OVER f
+    FROM counted WINDOW f AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)
+), ranked AS (
+    SELECT *, rank() OVER (PARTITION BY content ORDER BY doc_id NULLS LAST, a) AS place FROM wins WHERE total >= 50
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS line FROM ranked WHERE place > 1
+), kept AS (
+    SELECT n.doc_id, coalesce(string_agg(n.string, chr(10) ORDER BY n.line) FILTER (g.line IS NULL), '') AS text
+    FROM numbered n LEFT JOIN gone g ON n.doc_id IS NOT DISTINCT FROM g.doc_id AND n.line = g.line GROUP BY n.doc_id
+)
+SELECT d.doc_id, k.text, d.lang, d.source, length(k.text)::BIGINT AS n_chars
+FROM documents d LEFT JOIN kept k ON d.doc_id IS NOT DISTINCT FROM k.doc_id
+"""
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the smallest id of its group of near copies."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -132,8 +165,8 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash_near_dedup, op6_chat_formatting, op8_source_mixing, op9_url_filter, op10_media_columns)}
+    return {f.__name__: f for f in (op3_line_dedup, op4_simhash_near_dedup, op6_chat_formatting, op8_source_mixing, op9_url_filter, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": OP6_SQL, "op8_source_mixing": OP8_SQL, "op9_url_filter": OP9_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op6_chat_formatting": OP6_SQL, "op8_source_mixing": OP8_SQL, "op9_url_filter": OP9_SQL}
