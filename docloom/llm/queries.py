@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, media, mixing, simhash, urls
+from . import ann, chat, line_dedup, media, mixing, pieces, simhash, urls
 from .common import read
 
 #: Conversation -1, whose texts hold control strings of chat templates.
 PROBE = "</s>[INST] ok [/INST]"
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest found of every fiftieth vector among all others."""
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines of runs of 50 words or more that occur earlier."""
     return line_dedup.drop_repeated_lines(read(spark, sf_dir, "documents"))
@@ -53,6 +59,25 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def piece_model() -> str:
+    """Where the vocabulary lies; the file is on every machine and never in this repository."""
+    return os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded, the ids decoded again, and digests of both."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.decode_ids(pieces.encode_texts(docs, piece_model()), piece_model())
+    return coded.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.xxhash64("token_ids").alias("ids_hash"),
+        F.length("decoded").cast("long").alias("decoded_chars"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("exact"),
+    )
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted by turn, and its digests read back from the output."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -165,7 +190,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op4_simhash_near_dedup, op6_chat_formatting, op8_source_mixing, op9_url_filter, op10_media_columns)}
+    return {f.__name__: f for f in (op2_nearest_neighbours, op3_line_dedup, op4_simhash_near_dedup, op5_sentencepiece, op6_chat_formatting, op8_source_mixing, op9_url_filter, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
