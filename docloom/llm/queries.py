@@ -8,13 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, line_dedup, media, mixing, pieces, simhash, urls
+from . import ann, chat, line_dedup, media, mixing, pieces, quality, simhash, urls
 from .common import read
 
 #: Conversation -1, whose texts hold control strings of chat templates.
 PROBE = "</s>[INST] ok [/INST]"
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score; the labels of a third of all documents are not learned from."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train_model(docs, read(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest found of every fiftieth vector among all others."""
     return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
@@ -190,7 +197,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_nearest_neighbours, op3_line_dedup, op4_simhash_near_dedup, op5_sentencepiece, op6_chat_formatting, op8_source_mixing, op9_url_filter, op10_media_columns)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_nearest_neighbours, op3_line_dedup, op4_simhash_near_dedup, op5_sentencepiece, op6_chat_formatting, op8_source_mixing, op9_url_filter, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
