@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, line_dedup, media, mixing, pieces, quality, simhash, urls
+from . import ann, chat, html_text, line_dedup, media, mixing, pieces, quality, simhash, urls
 from .common import read
 
 #: Conversation -1, whose texts hold control strings of chat templates.
@@ -121,6 +121,12 @@ FROM numbered GROUP BY conv_id
 """
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    found = html_text.extract_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -197,7 +203,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_nearest_neighbours, op3_line_dedup, op4_simhash_near_dedup, op5_sentencepiece, op6_chat_formatting, op8_source_mixing, op9_url_filter, op10_media_columns)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_nearest_neighbours, op3_line_dedup, op4_simhash_near_dedup, op5_sentencepiece, op6_chat_formatting, op7_html_extraction, op8_source_mixing, op9_url_filter, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
