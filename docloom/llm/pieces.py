@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SPACE = "▁"
-#: Words whose ids are remembered in a worker, and pairs of pieces known to be allowed or not.
-MEMO = 600_000
+#: Words whose ids a worker remembers (twice as many at most), and pairs of pieces it has judged.
+MEMO = 300_000
 PAIRS = 1_000_000
 
 
@@ -70,11 +70,14 @@ class Pieces:
         self.endings = {n[k:] for n in self.score for k in range(len(n))}
         self.barrier = "\n" if not any("\n" in n for n in self.id) else None
         self.space = struct.pack("<i", self.id[SPACE])
-        self._own = b"".join(struct.pack("<i", self.bytes[b]) for b in SPACE.encode())
         self._barrier = struct.pack("<i", self.bytes[ord(self.barrier)]) if self.barrier else b""
-        self._words: dict[str, bytes] = {}  # with the space before them
-        self._lines: dict[str, bytes] = {}
-        self._allowed: dict[tuple[str, str], bool] = {}
+        self._words: dict[str, bytes] = {}  # ids with the space before them
+        self._bare: dict[str, bytes] = {}  # those in which the space stays alone
+        self._old: dict[str, bytes] = {}  # what was remembered before they were last full
+        self._follow: dict[str, dict[str, bool]] = {}  # piece -> piece -> whether the one may come next
+        self._pairs = 0
+        self._first = dict.fromkeys(self.score, True)
+        self._packed = {n: struct.pack("<i", i) for n, i in self.id.items()}
         self._raw = [self._piece_bytes(i) for i in ids]
 
     def _piece_bytes(self, i: int) -> bytes:
@@ -100,16 +103,47 @@ class Pieces:
         return parts
 
     def _may_follow(self, left: str, right: str) -> bool:
-        known = self._allowed.get((left, right))
-        if known is None:
-            if len(self._allowed) >= PAIRS:
-                self._allowed.clear()
-            known = self._allowed[left, right] = self._merge(left + right) == [left, right]
-        return known
+        known = self._follow.setdefault(left, {})
+        if right not in known:
+            if self._pairs >= PAIRS:
+                self._follow.clear()
+                known, self._pairs = self._follow.setdefault(left, {}), 0
+            known[right] = self._merge(left + right) == [left, right]
+            self._pairs += 1
+        return known[right]
+
+    def _short(self, text: str) -> bytes:
+        """The same for BPE and a stretch so short that nothing could be given out before its end."""
+        known, endings, follow = self.score, self.endings, self._follow
+        pieces, after = [""], [self._first]
+        for end in range(1, len(text) + 1):
+            for start in range(end - 1, -1, -1):
+                piece = text[start:end]
+                ok = after[start].get(piece)
+                if ok is None:
+                    if piece in known or end - start == 1:
+                        ok = start == 0 or self._may_follow(pieces[start], piece)
+                    elif piece not in endings:
+                        raise AssertionError("merging reaches every boundary")
+                if ok:
+                    break
+            pieces.append(piece)
+            after.append(follow.setdefault(piece, {}))
+        out, end, packed = [], len(text), self._packed
+        while end:
+            piece = pieces[end]
+            out.append(packed.get(piece) or self._spelled(piece))
+            end -= len(piece)
+        out.reverse()
+        return b"".join(out)
+
+    def _spelled(self, piece: str) -> bytes:
+        """The bytes of a character that is no piece."""
+        return b"".join([struct.pack("<i", self.bytes[b]) for b in piece.encode()])
 
     def _stream(self, text: str, give: Callable[[str], None]) -> None:
         """Give out the pieces of a stretch; single characters that are no piece too."""
-        known, endings, longest, allowed, may = self.score, self.endings, self.longest, self._allowed, self._may_follow
+        known, endings, longest, may = self.score, self.endings, self.longest, self._may_follow
         back: dict[int, tuple[int, str, float]] = {0: (-1, "", 0.0)}
         done, check, n = 0, 4 * longest, len(text)
         for end in range(1, n + 1):
@@ -121,12 +155,8 @@ class Pieces:
                 if (piece in known or end - start == 1) and start in back:
                     _, before, so_far = back[start]
                     if self.bpe:
-                        if before:
-                            ok = allowed.get((before, piece))
-                            if ok is None:
-                                ok = may(before, piece)
-                            if not ok:
-                                continue
+                        if before and not may(before, piece):
+                            continue
                         best = (start, piece, 0.0)
                         break
                     score = so_far + known.get(piece, -1e6)
@@ -161,37 +191,34 @@ class Pieces:
             give(piece)
 
     def _stretch(self, text: str) -> bytes:
-        out: list[int] = []
-
-        def give(piece: str) -> None:
-            found = self.id.get(piece)
-            out.extend([found] if found is not None else [self.bytes[b] for b in piece.encode()])
-
-        self._stream(text, give)
-        return struct.pack(f"<{len(out)}i", *out)
+        if self.bpe and len(text) < 4 * self.longest:
+            return self._short(text)
+        out: list[bytes] = []
+        self._stream(text, lambda piece: out.append(self._packed.get(piece) or self._spelled(piece)))
+        return b"".join(out)
 
     def _word(self, word: str) -> bytes:
         """Ids of a space and the word behind it."""
-        first, *lines = word.split(self.barrier) if self.barrier else [word]
-        out = [self._known(self._words, first, SPACE)]
-        for line in lines:
-            out.append(self._barrier)
-            if line:
-                out.append(self._known(self._lines, line, ""))
-        return b"".join(out)
-
-    def _known(self, memo: dict[str, bytes], key: str, before: str) -> bytes:
-        ids = memo.get(key)
+        ids = self._bare.get(word) or self._old.get(word)
         if ids is None:
-            # the text's own U+2581, of which each is three bytes, separate stretches
-            first, *rest = key.split(SPACE)
-            ids = self._own.join([self._stretch(before + first), *map(self._stretch, rest)])
-            if len(key) <= 64:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[key] = ids
+            first, *lines = word.split(self.barrier) if self.barrier else [word]
+            out = [self._line(first, SPACE)]
+            for line in lines:
+                out += (self._barrier, self._line(line, ""))
+            ids = b"".join(out)
+            if lines:
+                return ids
+        if len(word) <= 64:
+            if len(self._words) + len(self._bare) >= MEMO:
+                self._old, self._words, self._bare = self._words | self._bare, {}, {}
+            (self._bare if ids.startswith(self.space) else self._words)[word] = ids
         return ids
 
+    def _line(self, text: str, before: str) -> bytes:
+        """Ids of a stretch; each U+2581 of the text itself is three bytes."""
+        first, *rest = text.split(SPACE)
+        return self._spelled(SPACE).join([self._stretch(before + first), *map(self._stretch, rest)])
+
     def _run(self, n: int) -> bytes:
         """Ids of n spaces: from the left, always the longest run the vocabulary has."""
         out = b""
@@ -205,15 +232,17 @@ class Pieces:
         if not text:
             return b""
         out: list[bytes] = []
-        known, space, run = self._words, self.space, 0
+        run, space = 0, self.space
         for word in text.split(" "):
-            if not word:
-                run += 1
-                continue
-            ids = known.get(word) or self._word(word)
-            if ids.startswith(space):  # nothing took the space before the word
-                run += 1
-                ids = ids[4:]
+            ids = self._words.get(word)
+            if ids is None:
+                if not word:
+                    run += 1
+                    continue
+                ids = self._word(word)
+                if ids.startswith(space):  # nothing took the space before the word
+                    run += 1
+                    ids = ids[4:]
             if run:
                 out.append(self._run(run))
                 run = 0
