@@ -26,6 +26,7 @@ equal texts have equal ids; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import math
 import struct
 from collections.abc import Callable, Iterator
@@ -36,8 +37,8 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Words whose ids a worker remembers (twice as many at most), and pairs of pieces it has judged.
-MEMO = 300_000
-PAIRS = 1_000_000
+MEMO = 450_000
+PAIRS = 800_000
 
 
 class Pieces:
@@ -73,9 +74,11 @@ class Pieces:
         self._barrier = struct.pack("<i", self.bytes[ord(self.barrier)]) if self.barrier else b""
         self._words: dict[str, bytes] = {}  # ids with the space before them
         self._bare: dict[str, bytes] = {}  # those in which the space stays alone
+        self._lines: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}  # what was remembered before they were last full
         self._follow: dict[str, dict[str, bool]] = {}  # piece -> piece -> whether the one may come next
         self._pairs = 0
+        self._short_most = 4 * self.longest - 1
         self._first = dict.fromkeys(self.score, True)
         self._packed = {n: struct.pack("<i", i) for n, i in self.id.items()}
         self._raw = [self._piece_bytes(i) for i in ids]
@@ -104,31 +107,32 @@ class Pieces:
 
     def _may_follow(self, left: str, right: str) -> bool:
         known = self._follow.setdefault(left, {})
-        if right not in known:
-            if self._pairs >= PAIRS:
-                self._follow.clear()
-                known, self._pairs = self._follow.setdefault(left, {}), 0
-            known[right] = self._merge(left + right) == [left, right]
-            self._pairs += 1
-        return known[right]
+        ok = known.get(right)
+        if ok is None:
+            ok = self._merge(left + right) == [left, right]
+            if self._pairs < PAIRS:
+                known[right] = ok
+                self._pairs += 1
+        return ok
 
     def _short(self, text: str) -> bytes:
         """The same for BPE and a stretch so short that nothing could be given out before its end."""
-        known, endings, follow = self.score, self.endings, self._follow
+        follow = self._follow
         pieces, after = [""], [self._first]
         for end in range(1, len(text) + 1):
-            for start in range(end - 1, -1, -1):
-                piece = text[start:end]
+            start = end - 1
+            piece = text[start]
+            while True:
                 ok = after[start].get(piece)
-                if ok is None:
-                    if piece in known or end - start == 1:
-                        ok = start == 0 or self._may_follow(pieces[start], piece)
-                    elif piece not in endings:
-                        raise AssertionError("merging reaches every boundary")
-                if ok:
+                if ok or (ok is None and self._judge(pieces[start], piece)):
                     break
+                start -= 1  # merging reaches every boundary, so some piece fits
+                piece = text[start:end]
             pieces.append(piece)
-            after.append(follow.setdefault(piece, {}))
+            known = follow.get(piece)
+            if known is None:
+                known = follow[piece] = {}
+            after.append(known)
         out, end, packed = [], len(text), self._packed
         while end:
             piece = pieces[end]
@@ -137,6 +141,22 @@ class Pieces:
         out.reverse()
         return b"".join(out)
 
+    def _judge(self, before: str, piece: str) -> bool:
+        """Whether the piece, or single character, may come after the one before; remembered."""
+        if piece not in self.score and len(piece) > 1:
+            ok = False
+        elif not before:
+            ok = True
+        else:
+            return self._may_follow(before, piece)
+        if before:
+            if self._pairs < PAIRS:
+                self._follow.setdefault(before, {})[piece] = ok
+                self._pairs += 1
+        elif len(self._first) < PAIRS:
+            self._first[piece] = ok
+        return ok
+
     def _spelled(self, piece: str) -> bytes:
         """The bytes of a character that is no piece."""
         return b"".join([struct.pack("<i", self.bytes[b]) for b in piece.encode()])
@@ -191,7 +211,7 @@ class Pieces:
             give(piece)
 
     def _stretch(self, text: str) -> bytes:
-        if self.bpe and len(text) < 4 * self.longest:
+        if self.bpe and len(text) <= self._short_most:
             return self._short(text)
         out: list[bytes] = []
         self._stream(text, lambda piece: out.append(self._packed.get(piece) or self._spelled(piece)))
@@ -201,24 +221,37 @@ class Pieces:
         """Ids of a space and the word behind it."""
         ids = self._bare.get(word) or self._old.get(word)
         if ids is None:
-            first, *lines = word.split(self.barrier) if self.barrier else [word]
-            out = [self._line(first, SPACE)]
-            for line in lines:
-                out += (self._barrier, self._line(line, ""))
-            ids = b"".join(out)
-            if lines:
-                return ids
+            if self.barrier and self.barrier in word:
+                first, *lines = word.split(self.barrier)
+                out = [(self._words.get(first) or self._word(first)) if first else self.space]
+                for line in lines:
+                    out += (self._barrier, self._begin(line))
+                return b"".join(out)
+            short = len(word) < self._short_most and self.bpe and SPACE not in word
+            ids = self._short(SPACE + word) if short else self._line(word, SPACE)
         if len(word) <= 64:
             if len(self._words) + len(self._bare) >= MEMO:
                 self._old, self._words, self._bare = self._words | self._bare, {}, {}
             (self._bare if ids.startswith(self.space) else self._words)[word] = ids
         return ids
 
+    def _begin(self, line: str) -> bytes:
+        """Ids of the first word of a line, which has no space before it."""
+        ids = self._lines.get(line)
+        if ids is None:
+            ids = self._line(line, "")
+            if len(line) <= 64:
+                if len(self._lines) >= MEMO // 4:
+                    self._lines.clear()
+                self._lines[line] = ids
+        return ids
+
     def _line(self, text: str, before: str) -> bytes:
         """Ids of a stretch; each U+2581 of the text itself is three bytes."""
         first, *rest = text.split(SPACE)
         return self._spelled(SPACE).join([self._stretch(before + first), *map(self._stretch, rest)])
 
+    @functools.lru_cache(256)  # noqa: B019 (models live as long as their worker)
     def _run(self, n: int) -> bytes:
         """Ids of n spaces: from the left, always the longest run the vocabulary has."""
         out = b""
@@ -232,14 +265,15 @@ class Pieces:
         if not text:
             return b""
         out: list[bytes] = []
-        run, space = 0, self.space
+        run, space, bare = 0, self.space, self._bare
         for word in text.split(" "):
             ids = self._words.get(word)
             if ids is None:
                 if not word:
                     run += 1
                     continue
-                ids = self._word(word)
+                ids = bare.get(word) or self._word(word)
+                bare = self._bare
                 if ids.startswith(space):  # nothing took the space before the word
                     run += 1
                     ids = ids[4:]
