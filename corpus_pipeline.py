@@ -43,8 +43,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, token_ids, n_tokens and whether decoding gives the text."""
-    model = piece_model()
-    coded = pieces.decode_ids(pieces.encode_texts(docs, model), model)
+    coded = pieces.encode_texts(docs, piece_model(), decoded="decoded")
     return coded.select("doc_id", "lang", "source", "n_chars", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
 
 

@@ -37,8 +37,8 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Words whose ids a worker remembers (twice as many at most), and pairs of pieces it has judged.
-MEMO = 450_000
-PAIRS = 800_000
+MEMO = 250_000
+PAIRS = 400_000
 
 
 class Pieces:
@@ -335,24 +335,30 @@ def load(path: str) -> Pieces:
     return _MODELS[path]
 
 
-def encode_texts(docs: DataFrame, model: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """``docs`` with the ids of the text (array of int).  ``model``: path on every machine."""
-    kept = [f for f in docs.schema.fields if f.name != ids]
+def encode_texts(docs: DataFrame, model: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the ids of the text (array of int).  ``model``: path on every machine.
+
+    ``decoded`` names a column for the text that the ids decode to, made by the same workers, so
+    that the model is held once."""
+    made = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    kept = [f for f in docs.schema.fields if f.name not in (ids, decoded)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
         for batch in batches:
             values = batch.column(batch.schema.get_field_index(text))
+            rest = batch.select([f.name for f in kept])
             first, size, held = 0, 0, []
             for i, x in enumerate(values):
                 raw = x.as_py()
                 held.append(None if raw is None else pieces.encode(raw))
                 size += len(held[-1] or b"")
                 if size >= 1 << 22 or i + 1 == len(values):
-                    yield _append(batch.slice(first, i + 1 - first).select([f.name for f in kept]), ids, _lists(held))
+                    out = _append(rest.slice(first, i + 1 - first), ids, _lists(held))
+                    yield _append(out, decoded, pa.array([None if h is None else pieces.decode(memoryview(h).cast("i").tolist()) for h in held], pa.string())) if decoded else out
                     first, size, held = i + 1, 0, []
 
-    return docs.mapInArrow(work, T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(work, T.StructType([*kept, *made]))
 
 
 def _lists(rows: list[bytes | None]) -> pa.Array:

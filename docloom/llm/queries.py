@@ -74,7 +74,7 @@ def piece_model() -> str:
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded, the ids decoded again, and digests of both."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = pieces.decode_ids(pieces.encode_texts(docs, piece_model()), piece_model())
+    coded = pieces.encode_texts(docs, piece_model(), decoded="decoded")
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
