@@ -1 +1 @@
-
+"""Sources: files and tables read into blocks."""
