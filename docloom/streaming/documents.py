@@ -16,12 +16,14 @@ def without_repeats(texts: DataFrame, text: str = "text", arrived: str = "ts", w
     return texts.withColumn("_hash", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).withWatermark(arrived, within).dropDuplicatesWithinWatermark(["_hash"]).drop("_hash")
 
 
-def structure_stream(texts: DataFrame, sink: Callable[[Structure, int], None], checkpoint: str, text: str = "text", doc_id: str = "doc_id"):
+def structure_stream(texts: DataFrame, sink: Callable[[Structure, int], None], checkpoint: str, text: str = "text", doc_id: str = "doc_id", once: bool = False):
     """Start a query that structures each micro-batch and hands it to ``sink``.
 
-    ``sink`` gets the batch's number too, so that a repeated batch can replace itself."""
+    ``sink`` gets the batch's number too, so that a repeated batch can replace itself.  ``once``: end
+    when what is there now is done."""
 
     def one_batch(batch: DataFrame, number: int) -> None:
         sink(structure(text_blocks(batch, text, doc_id)), number)
 
-    return texts.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint).start()
+    writer = texts.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

@@ -15,7 +15,8 @@ STATE = "used int, begin double"
 
 
 def limit_stream(events: DataFrame, cfg: LimiterConfig = LimiterConfig()) -> DataFrame:
-    """``events``: key string, ts timestamp.  Buckets that rest for two windows are forgotten."""
+    """``events``: key string, ts timestamp.  Buckets that rest for two windows of event time
+    are forgotten; events later than one window may come too late to count."""
 
     def bucket(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -33,6 +34,6 @@ def limit_stream(events: DataFrame, cfg: LimiterConfig = LimiterConfig()) -> Dat
                 out.append((key[0], ts, allowed, cfg.most - used if allowed else 0, 0 if allowed else int(cfg.seconds - (at - begin)) + 1))
             yield pd.DataFrame(out, columns=["key", "ts", "allowed", "remaining", "retry_after"])
         state.update((used, begin))
-        state.setTimeoutDuration(2 * cfg.seconds * 1000)
+        state.setTimeoutTimestamp(max(int((begin + 2 * cfg.seconds) * 1000), state.getCurrentWatermarkMs() + 1))
 
-    return events.groupBy("key").applyInPandasWithState(bucket, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", f"{cfg.seconds} seconds").groupBy("key").applyInPandasWithState(bucket, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
