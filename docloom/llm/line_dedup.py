@@ -1,7 +1,7 @@
 """Line dedup by winnowing over line hashes.
 
-A line is what lies between line feeds; lines without a word take no part and stay.  The
-order of the corpus is by doc_id (null last), then by the text's hash, then by line.  A
+A line is what lies between line feeds; lines without a word are not compared, and go only
+with a window that they lie in.  The order of the corpus is by doc_id (null last), then by the text's hash, then by line.  A
 line goes if it lies in a run of lines of one document, of ``words`` words or more, that
 also occurs earlier in the corpus; the first occurrence of each run stays.
 
@@ -83,10 +83,10 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def drop_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS) -> DataFrame:
     """``docs`` with the repeated lines dropped from the text."""
-    gone = repeated_lines(docs, text, doc_id, words).select(F.col("doc.id").alias("_id"), F.col("doc.hash").alias("_hash"), "gone").hint("shuffle_hash")
+    gone = repeated_lines(docs, text, doc_id, words).select(F.col("doc.id").alias("_id"), F.col("doc.hash").alias("_hash"), F.col("gone").alias("_gone")).hint("shuffle_hash")
     joined = docs.alias("d").join(gone, F.col(f"d.{doc_id}").eqNullSafe(F.col("_id")) & (F.xxhash64(f"d.{text}") == F.col("_hash")), "left")
     lines = F.split(F.col(f"d.{text}"), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
-    new = F.when(F.col("gone").isNull(), F.col(f"d.{text}")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
+    new = F.when(F.col("_gone").isNull(), F.col(f"d.{text}")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     out = joined.select(*[new.alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns])
     return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
