@@ -2,7 +2,8 @@
 
 1. quality classifier: documents that it rejects go;
 2. line dedup: runs of lines, of 50 words or more, that occur earlier in the corpus go;
-3. SimHash near-dedup: of each group of near copies the document with the smallest id stays;
+3. SimHash near-dedup: of each group of near copies (a similarity of 0.8 or more on five-word
+   shingles) the document with the smallest id stays;
 4. mixing: documents are repeated or left out until the sources have their target weights;
 5. SentencePiece: every remaining row is encoded, and decoded again to see that nothing is lost.
 
@@ -34,7 +35,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    """One document of each group of texts that share 0.8 of their five-word shingles."""
+    return simhash.keep_one(docs, simhash.similar_documents(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

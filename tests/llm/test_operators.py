@@ -116,10 +116,34 @@ def test_near_dedup_of_odd_rows(spark):
     rows = docs(spark, [*ODD, (9, t, "s"), (8, t.upper(), "s"), (10, t + " more", "s")]).withColumn("component_id", F.lit("c")).withColumn("a", F.lit(1))
     found = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows).collect()}
     assert found[9] == 8 and found[1] == found[2] == found[4] == 1
-    kept = simhash.keep_one(rows)
+    kept = simhash.keep_one(rows, simhash.similar_documents(rows))
     assert kept.columns == rows.columns
-    assert sorted((r.doc_id or 0) for r in kept.collect() if r.doc_id != 10) == [0, 1, 3, 8]
-    assert simhash.keep_one(docs(spark, [])).count() == 0
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3, 8]
+    none = docs(spark, [])
+    assert simhash.keep_one(none, simhash.similar_documents(none)).count() == 0
+
+
+def test_similar_texts_against_all_pairs(spark):
+    rng, texts = random.Random(9), []
+    for k in range(12):
+        base = words(rng.randint(60, 150), k).split()
+        texts.append(" ".join(base))
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randint(1, 3)):
+                copy[rng.randrange(len(copy))] = words(1, rng.random())
+            texts.append(" ".join(copy) + " " * rng.randint(0, 2))
+    sets = [simhash.shingles(t) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    rows = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(rows).collect()}
+    assert all(group[got[i]] == group[i] for i in got), "only texts that are similar enough are joined"
+    assert sum(got[i] == group[i] for i in got) >= 0.9 * len(texts) and len(set(group)) < len(texts) / 2
 
 
 # -- mixing
