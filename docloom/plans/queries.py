@@ -17,8 +17,10 @@ from ..operators import anchors as A
 from ..operators import evaluation as E
 from ..operators import runs as R
 from ..operators import skeleton as S
+from ..operators import summaries as SU
 from ..operators import tree as TR
 from ..operators.limiter import limit_requests
+from ..operators.papers import paper_from_headings
 from ..sources.text import paragraphs
 from .fixtures import BLOCKS_SQL, HEADINGS_SQL, NUMBERING, WINDOWS, _strip, drifted, headings, line_blocks, numbered, similarity_sql, table
 from .router import RuleRouter, with_rule_level
@@ -693,3 +695,45 @@ def rule_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["rule_levels"] = rule_levels
 SQL["rule_levels"] = f"WITH {BLOCKS_SQL} SELECT doc_id, pos, CAST({_LEVEL} AS INTEGER) AS level FROM featured"
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, count(*) AS texts, count(DISTINCT st) AS different, count(*) - count(DISTINCT st) AS repeats FROM blocks WHERE st <> '' GROUP BY doc_id")
+def repeated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SU.repeated_texts(line_blocks(spark, sf_dir))
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, count_if(is_heading_style)::BIGINT AS styled, count_if(is_heading_style OR title)::BIGINT AS headings, count_if(title AND is_bold AND NOT is_heading_style)::BIGINT AS bold_titles FROM featured GROUP BY doc_id")
+def heading_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SU.heading_counts(line_blocks(spark, sf_dir))
+
+
+@query(f"WITH {BLOCKS_SQL}, m AS (SELECT doc_id, text, {_MARKDOWN} AS md FROM blocks) SELECT doc_id, sum(length(text))::BIGINT AS chars, (coalesce(sum(length(md)) FILTER (md <> ''), 0) + 2 * greatest(count_if(md <> '') - 1, 0))::BIGINT AS content_chars FROM m GROUP BY doc_id")
+def root_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SU.root_coverage(line_blocks(spark, sf_dir))
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT doc_id, string_agg(repeat('    ', CAST(pos % 3 AS BIGINT)) || st, chr(10) ORDER BY pos) AS dump FROM blocks WHERE st <> '' GROUP BY doc_id")
+def list_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = line_blocks(spark, sf_dir).withColumn("metadata", F.create_map(F.lit("list_level"), (F.col("pos") % 3).cast("string")))
+    return SU.list_dump(blocks)
+
+
+@query("SELECT lang, round(avg(r) FILTER (r > 0), 9) AS ratio FROM (SELECT lang, 1 - n_chars / 1500.0::DOUBLE AS r FROM documents) GROUP BY lang")
+def positive_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").withColumn("r", 1 - F.col("n_chars") / 1500.0)
+    return rows.groupBy("lang").agg(F.round(SU.mean_of_positive("r"), 9).alias("ratio"))
+
+
+@query(
+    f"""WITH {HEADINGS_SQL}, ends AS (
+    SELECT t.doc_id, t.title, t.block_id AS a, greatest(t.block_id, coalesce(lead(t.block_id) OVER (PARTITION BY t.doc_id ORDER BY t.ord) - 1, e.z)) AS z FROM truth t JOIN (SELECT doc_id, max(block_id) AS z FROM blocks GROUP BY doc_id) e USING (doc_id)
+    UNION ALL SELECT doc_id, 'Doc ' || doc_id, min(block_id), max(block_id) FROM blocks WHERE doc_id NOT IN (SELECT doc_id FROM truth) GROUP BY doc_id
+), m AS (SELECT doc_id, block_id, type, {_MARKDOWN} AS md FROM blocks WHERE type <> 'code')
+SELECT e.doc_id, e.title, coalesce(string_agg(m.md, chr(10) || chr(10) ORDER BY m.block_id) FILTER (m.md <> '' AND NOT (m.block_id = e.a AND m.type = 'text' AND e.title <> 'Document')), '') AS content
+FROM ends e LEFT JOIN m ON m.doc_id = e.doc_id AND m.block_id BETWEEN e.a AND e.z GROUP BY e.doc_id, e.title, e.a"""
+)
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers of given headings; documents without any are one section."""
+    blocks, truth = _truth(spark, sf_dir)
+    meta = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("doc_title"), F.lit("").alias("doc_authors"))
+    return paper_from_headings(truth, blocks, meta).select("doc_id", "title", "content")
