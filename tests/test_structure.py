@@ -296,3 +296,25 @@ def test_blocks_with_nulls_and_ties_do_not_crash(spark):
     assert structure(blocks(spark, rows)).sections.count() == 1
     assert structure(blocks(spark, [])).sections.count() == 0
     assert resolve(anchors(spark, [(9, 4, "x", ""), (-3, 2, "", "")]), blocks(spark, rows), ResolverConfig()).count() == 2
+
+
+def test_papers_summaries_and_prompts(spark, tmp_path):
+    from docloom.operators import papers as P
+    from docloom.operators import summaries as U
+    from docloom.plans.prompts import load_prompt
+
+    rows = [block(0, "Abstract", font_size=16.0, is_bold=True), block(1, "same"), block(2, "x = 1", "code"), block(3, "same"), block(0, "alone", doc=2)]
+    b = blocks(spark, rows)
+    meta = spark.createDataFrame([(1, "T", "Me"), (2, "file.docx", "")], "doc_id long, doc_title string, doc_authors string")
+    given = spark.createDataFrame([(1, 0, 0, 1, "Abstract")], "doc_id long, ord int, block_id int, level int, title string")
+    got = {r.doc_id: (r.title, r.type, r.content) for r in P.paper_from_headings(given, b, meta).collect()}
+    assert got == {1: ("Abstract", "abstract", "same\n\nsame"), 2: ("file.docx", "section", "")}
+    own = spark.createDataFrame([(1, 0, 1, "Bibliography", "c")], "doc_id long, ord int, level int, title string, content string")
+    assert P.paper_from_sections(own, meta).first().type == "section"
+    assert {r.doc_id: (r.texts, r.different, r.repeats) for r in U.repeated_texts(b).collect()}[1] == (4, 3, 1)
+    assert {r.doc_id: (r.styled, r.headings, r.bold_titles) for r in U.heading_counts(b).collect()}[1] == (0, 1, 1)
+    assert U.list_dump(blocks(spark, [block(0, "a"), block(1, "b", metadata={"list_level": "2"})])).first().dump == "a\n        b"
+    (tmp_path / "router.txt").write_text("find headings")
+    assert load_prompt(str(tmp_path), "router") == "find headings"
+    with pytest.raises(FileNotFoundError):
+        load_prompt(str(tmp_path), "none")
