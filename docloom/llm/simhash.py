@@ -257,7 +257,7 @@ def similar_enough(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least:
 
     ``nodes``: sequence and least, the smallest doc_id; ``texts``: doc_id and text, of which only those
     of the pairs are shuffled."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("_of")).distinct()
+    needed = pairs.select(F.col("a").alias("_of")).distinct().unionByName(pairs.select(F.col("b").alias("_of")).distinct())
     needed = cut(nodes.join(needed, F.col("sequence") == F.col("_of"), "left_semi").select(F.col("sequence").alias("_needed"), F.col("least").alias("_least")))
     words = F.regexp_replace(F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " ")
     known = attach(texts, needed, texts["doc_id"].eqNullSafe(needed["_least"]), "inner").withColumn("sequence", F.xxhash64(F.regexp_replace(words, "^ | $", "")))
