@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Words whose ids a worker remembers (twice as many at most), and pairs of pieces it has judged.
-MEMO = 250_000
+MEMO = 200_000
 PAIRS = 400_000
 
 

@@ -33,7 +33,7 @@ SAMPLE = 6000  # documents
 BAG = 64  # passages of a document in training
 HIDDEN, GATE = 32, 16
 EPOCHS, BATCH, RATE, DECAY = 40, 256, 0.01, 1e-4
-CHUNK = 1 << 21  # bytes in hand at once
+CHUNK = 1 << 19  # bytes in hand at once
 
 CLASSES = 10
 _KIND = np.full(256, 7, np.int64)  # bytes of other scripts and accents
