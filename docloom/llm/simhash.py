@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -197,8 +197,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
-#: Limits of the searches, one after the other.  Of pairs with a similarity of 0.8 to 0.85 about 93 in
-#: 100 differ in at most six bits, of those above 0.85 about 98, and above 0.9 all (see README).
+#: Limits of the searches by fingerprints, one after the other; what they miss is found by ``shared_shingles``.
 SEARCHES = (3, 6)
 
 
@@ -252,18 +251,21 @@ def shingles(text: str, shingle: int = SIMILAR_SHINGLE) -> set[int]:
     return {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))}
 
 
-def similar_enough(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+def with_sequence(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``_sequence``, the hash of the text's words in order, as ``with_word_prints`` makes it."""
+    words = F.regexp_replace(F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " ")
+    return docs.withColumn("_sequence", F.xxhash64(F.regexp_replace(words, "^ | $", "")))
+
+
+def similar_enough(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     """The pairs (a, b) of sequences whose texts have a Jaccard similarity of ``least`` or more.
 
-    ``nodes``: sequence and least, the smallest doc_id; ``texts``: doc_id and text, of which only those
-    of the pairs are shuffled."""
-    needed = pairs.select(F.col("a").alias("_of")).distinct().unionByName(pairs.select(F.col("b").alias("_of")).distinct())
-    needed = cut(nodes.join(needed, F.col("sequence") == F.col("_of"), "left_semi").select(F.col("sequence").alias("_needed"), F.col("least").alias("_least")))
-    words = F.regexp_replace(F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " ")
-    known = attach(texts, needed, texts["doc_id"].eqNullSafe(needed["_least"]), "inner").withColumn("sequence", F.xxhash64(F.regexp_replace(words, "^ | $", "")))
-    known = known.where("sequence = _needed").select("sequence", "text").dropDuplicates(["sequence"])
-    left = known.select(F.col("sequence").alias("_sa"), F.col("text").alias("ta"))
-    right = known.select(F.col("sequence").alias("_sb"), F.col("text").alias("tb"))
+    ``texts``: text, of which only those of the pairs are shuffled."""
+    needed = cut(pairs.select(F.col("a").alias("_needed")).unionByName(pairs.select(F.col("b").alias("_needed"))).distinct())
+    known = attach(with_sequence(texts.select("text")), needed, F.col("_sequence") == F.col("_needed"), "inner")
+    known = known.select("_sequence", "text").dropDuplicates(["_sequence"])
+    left = known.select(F.col("_sequence").alias("_sa"), F.col("text").alias("ta"))
+    right = known.select(F.col("_sequence").alias("_sb"), F.col("text").alias("tb"))
     both = pairs.join(left, F.col("a") == F.col("_sa")).join(right, F.col("b") == F.col("_sb")).select("a", "b", "ta", "tb")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,26 +280,101 @@ def similar_enough(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least:
     return both.mapInArrow(work, "a long, b long")
 
 
+#: The order of shingles in ``shared_shingles`` comes from about so many texts; at most so many shingles that
+#: are in three of them or more count as common.  Both decide the cost only: every order finds all pairs.
+ORDER_SAMPLE = 10_000
+COMMON = 100_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_set(words: list[bytes], shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Hashes of the different shingles, in order; of equal number to ``shingles``."""
+    known = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    size = min(shingle, len(words))
+    found = np.full(max(1, len(words) - shingle + 1), size, np.uint64)
+    for i in range(size):
+        found = found * _ODD + known[i : i + len(found)]
+    found ^= found >> np.uint64(32)
+    found *= _ODD
+    return np.unique((found ^ found >> np.uint64(29)).view(np.int64))
+
+
+def common_shingles(texts: DataFrame, shingle: int = SIMILAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are common in a sample of the texts, in order, and the place of each by its frequency."""
+    every = max(1, texts.count() // ORDER_SAMPLE)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set((x.as_py() or "").encode().lower().split(), shingle) for x in batch.column(0)]
+            found, n = np.unique(np.concatenate(sets or [np.zeros(0, np.int64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["shingle", "n"])
+
+    sample = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select("text")
+    rows = sample.mapInArrow(work, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n >= 3").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    found = rows.column("shingle").to_numpy()
+    order = np.argsort(found)
+    return found[order], len(found) - order  # the most frequent one comes last
+
+
+def shared_shingles(texts: DataFrame, grouped: DataFrame, least: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """Pairs (a, b) of sequences in different groups, among them all with a similarity of ``least`` or more.
+
+    Sets of m and n shingles that are this similar share ``least * max(m, n)``, so whatever the order of
+    the shingles, they share one of the first ``n - least * n + 1`` of each; rare ones are put first.  From
+    the first that is shared on, enough must be left of both sets."""
+    common, places = common_shingles(texts, shingle)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                words = (x.as_py() or "").encode().lower().split()
+                found = shingle_set(words, shingle)
+                place = np.zeros(len(found), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                    place = np.where(common[at] == found, places[at], 0)
+                n = len(found)
+                first = found[np.lexsort((found, place))][: n - math.ceil(least * n - 1e-6) + 1]
+                sequence = _signed(xxhash.xxh64_intdigest(b" ".join(words), SEED))
+                columns = [pa.array(np.full(len(first), sequence), pa.int64()), pa.array(first, pa.int64()), pa.array(np.full(len(first), n), pa.int32()), pa.array(np.arange(len(first)), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["sequence", "shingle", "n", "place"])
+
+    rows = texts.select("text").mapInArrow(work, "sequence long, shingle long, n int, place int")
+    same = Window.partitionBy("shingle")
+    several = rows.withColumn("_least", F.min("sequence").over(same)).withColumn("_most", F.max("sequence").over(same)).where("_least <> _most")
+    shared = several.select("sequence", "shingle", "n", "place").distinct()
+    groups = grouped.select(F.col("sequence").alias("_of"), "group")
+    shared = cut(shared.join(groups, F.col("sequence") == F.col("_of")).drop("_of"))
+    left = shared.select(F.col("sequence").alias("a"), F.col("shingle").alias("_xa"), F.col("n").alias("_na"), F.col("place").alias("_pa"), F.col("group").alias("_ga"))
+    right = shared.select(F.col("sequence").alias("b"), F.col("shingle").alias("_xb"), F.col("n").alias("_nb"), F.col("place").alias("_pb"), F.col("group").alias("_gb"))
+    most = F.least(F.col("_na") - F.col("_pa"), F.col("_nb") - F.col("_pb"))
+    enough = most >= (F.col("_na") + F.col("_nb")) * F.lit(least / (1 + least)) - 1e-6
+    return left.join(right, (F.col("_xa") == F.col("_xb")) & (F.col("a") < F.col("b")) & (F.col("_ga") != F.col("_gb")) & enough).select("a", "b").distinct()
+
+
 def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", searches: tuple[int, ...] = SEARCHES, least: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """(doc_id, component_id) of every row: groups of texts with a similarity of ``least`` or more on
-    their sets of word shingles, found by fingerprints of their words and then verified.
+    """(doc_id, sequence, component_id, component_sequence) of every row: the groups of all texts with a
+    similarity of ``least`` or more on their sets of word shingles; component_id and component_sequence
+    are those of the group's row with the smallest id, null ids last.
 
-    Texts with equal words are one node.  Each search leaves out the pairs that those before have put
-    into one group, so a group of thousands of near copies is not spelled out as pairs."""
+    Texts with equal words are one node.  Searches by fingerprints of words find most pairs at little
+    cost; all others come from ``shared_shingles``.  Each search leaves out the pairs that those before
+    have put into one group, so a group of thousands of near copies is not spelled out as pairs."""
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = cut(with_word_prints(texts, "text", shingle))
     made = ["fingerprint", *SKETCH]  # equal for equal sequences
     nodes = cut(rows.groupBy("sequence").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in made]))
     grouped, links = nodes.withColumn("group", F.col("sequence")), None
-    for limit in searches:
-        found = cut(near_links(grouped, limit, "sequence", "group", (list(SKETCH), SKETCH_LIMIT)))
-        good = similar_enough(found, nodes, texts, least, shingle)
+    for limit in (*searches, None):
+        found = near_links(grouped, limit, "sequence", "group", (list(SKETCH), SKETCH_LIMIT)) if limit is not None else shared_shingles(texts, grouped, least, shingle)
+        good = similar_enough(cut(found), texts, least, shingle)
         links = cut(good if links is None else links.unionByName(good))
         roots = connected_components(links)
         grouped = cut(nodes.join(roots, nodes["sequence"] == roots["node"], "left").select("sequence", "least", *made, F.coalesce("root", "sequence").alias("group")))
-    of_group = grouped.groupBy(F.col("group").alias("_group")).agg(F.min("least").alias("component_id"))
-    named = grouped.join(of_group, F.col("group") == F.col("_group")).select(F.col("sequence").alias("_sequence"), "component_id")
-    return rows.join(named, F.col("sequence") == F.col("_sequence")).select("doc_id", "component_id")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "sequence")).alias("_first")
+    of_group = grouped.groupBy(F.col("group").alias("_group")).agg(first)
+    named = grouped.join(of_group, F.col("group") == F.col("_group")).select(F.col("sequence").alias("_sequence"), F.col("_first.least").alias("component_id"), F.col("_first.sequence").alias("component_sequence"))
+    return rows.join(named, F.col("sequence") == F.col("_sequence")).select("doc_id", "sequence", "component_id", "component_sequence")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id") -> DataFrame:

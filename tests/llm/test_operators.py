@@ -146,6 +146,25 @@ def test_similar_texts_against_all_pairs(spark):
     assert sum(got[i] == group[i] for i in got) >= 0.9 * len(texts) and len(set(group)) < len(texts)
 
 
+def test_replaced_and_appended_passages_are_all_found(spark):
+    rng, texts = random.Random(4), []
+    vocabulary = words(400, "v").split()
+    for _ in range(60):  # texts of a small vocabulary with a common line in each; a copy of each has one passage replaced or appended
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(80, 250))]
+        at, n = rng.randrange(60), len(base) * rng.randint(4, 9) // 100
+        changed = [*base[:at], *(rng.choice(vocabulary) for _ in range(n)), *base[at + n :]]
+        longer = [*base, *(rng.choice(vocabulary) for _ in range(len(base) * rng.randint(10, 24) // 100))]
+        texts += [" ".join([*x, *vocabulary[:12]]) for x in (base, changed, longer)]
+    sets = [simhash.shingles(t) for t in texts]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(pairs) > 60
+    rows = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    for searches in (simhash.SEARCHES, ()):
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(rows, searches=searches).collect()}
+        assert [p for p in pairs if got[p[0]] != got[p[1]]] == []
+        assert all(any(i in p for p in pairs) for i, c in got.items() if c != i)
+
+
 # -- mixing
 
 
