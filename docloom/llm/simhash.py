@@ -377,15 +377,18 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     return rows.join(named, F.col("sequence") == F.col("_sequence")).select("doc_id", "sequence", "component_id", "component_sequence")
 
 
-def keep_one(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """One document of each group: the one with the smallest id, and one row of it.
-
-    ``groups``: doc_id and component_id of every row.  Only ids of rows to go or to be thinned meet
-    the texts in a join."""
-    ids = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_kept"))
+def keep_one(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group: that with the smallest id, null ids last, and of equal ids one text.
+
+    ``groups``: the rows of ``similar_documents``.  A row is known by its id and the words of its text, so
+    rows without an id and different texts of one id go only with their own group.  Only those of rows
+    to go or to be thinned meet the texts in a join."""
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("sequence") == F.col("component_sequence"))
+    ids = groups.groupBy(F.col("doc_id").alias("_id"), F.col("sequence").alias("_of")).agg(F.count("*").alias("_rows"), F.max(first).alias("_kept"))
     changes = cut(ids.where("not _kept or _rows > 1"))
-    known = attach(docs, changes, docs[doc_id].eqNullSafe(changes["_id"])).where("_kept is null or _kept")
+    rows = with_sequence(docs, text)
+    known = attach(rows, changes, (rows["_sequence"] == changes["_of"]) & rows[doc_id].eqNullSafe(changes["_id"])).where("_kept is null or _kept")
     once = known.where("_rows is null").select(docs.columns)
     if changes.where("_kept").isEmpty():
         return once
-    return once.unionByName(known.where("_rows > 1").select(docs.columns).dropDuplicates([doc_id]))
+    return once.unionByName(known.where("_rows > 1").dropDuplicates([doc_id, "_sequence"]).select(docs.columns))

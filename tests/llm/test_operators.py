@@ -165,6 +165,14 @@ def test_replaced_and_appended_passages_are_all_found(spark):
         assert all(any(i in p for p in pairs) for i, c in got.items() if c != i)
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    a, b, c, d = (words(80, f"text {k}") for k in "abcd")
+    rows = docs(spark, [(None, a, "s"), (None, b, "s"), (None, b.upper(), "s"), (None, c + " more", "s"), (5, c, "s"), (5, d, "s"), (4, d + " more", "s"), (6, words(80, "e"), "s"), (6, words(80, "f"), "s"), (6, words(80, "f"), "s")])
+    kept = simhash.keep_one(rows, simhash.similar_documents(rows)).collect()
+    want = [(None, a), (None, b), (5, c), (4, d + " more"), (6, words(80, "e")), (6, words(80, "f"))]
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in kept) == sorted((i or 0, t) for i, t in want)
+
+
 # -- mixing
 
 
