@@ -411,6 +411,13 @@ def test_templates_show_what_all_pages_say(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_templates_count_the_text_of_every_page(spark):
+    page = "<html><body><div>Welcome to the site</div>{}</body></html>"
+    rows = [(i, "http://h.com/1", page.format(f"<div><p>{words(4, i)}</p></div>")) for i in range(4)] + [(4, "http://h.com/2", page.format(f"<article><p>{words(4, 4)}</p></article>"))]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: words(4, i) for i in range(5)}
+
+
 def test_deep_and_broken_pages():
     assert html_text.Page("<div><b>" * 20_000 + "x").main_text() == "x"
     assert html_text.Page("<p>a <b <i>c</p> d &lt; &#x41; &bogus; <!-- open").main_text().startswith("a")
