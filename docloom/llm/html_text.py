@@ -13,8 +13,8 @@ template to count.
 
 What a slot is for shows in the elements around it: those of navigation, headers, footers,
 sidebars, forms, notices, adverts, reader comments and code are left out, by element, role or
-words of class and id.  If a page has an ``article`` (or else a ``main``), its text is that one's
-whole text, also where the host repeats itself; otherwise it is the text of all other slots.
+words of class and id.  If a page has an ``article`` (or else a ``main``), the slots in it are its
+text, without what all pages of the host say; otherwise it is the text of all other slots.
 
 Defined results: null pages count as empty; pages without text give an empty string; a null
 URL is of the host ``""``; unclosed and crossed tags are closed as browsers do; text of any length
@@ -183,14 +183,13 @@ class Page:
                 return
 
     def main_text(self, template: frozenset[int] = frozenset()) -> str:
-        """The text of the article; else of the main; else of all that is not the template's."""
+        """The text of the slots in the article; else of those in the main; else of all."""
+        slots = [b for b in self.blocks if block_token(b[0], b[1]) not in template]
         if self.has_article:
-            kept = [t for _, t, article, _ in self.blocks if article]
+            slots = [b for b in slots if b[2]]
         elif self.has_main:
-            kept = [t for _, t, _, main in self.blocks if main]
-        else:
-            kept = [t for p, t, _, _ in self.blocks if block_token(p, t) not in template]
-        return "\n".join(kept)
+            slots = [b for b in slots if b[3]]
+        return "\n".join(b[1] for b in slots)
 
 
 def block_token(path: int, text: str) -> int:

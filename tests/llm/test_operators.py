@@ -418,6 +418,12 @@ def test_templates_count_the_text_of_every_page(spark):
     assert got == {i: words(4, i) for i in range(5)}
 
 
+def test_templates_hold_within_articles_and_mains(spark):
+    rows = [(i, "http://h.com/1", f"<html><body><{tag}><div>Read our terms</div><p>{words(4, i)}</p></{tag}></body></html>") for tag in ("article", "main") for i in range(3)]
+    pages = spark.createDataFrame([(k, f"http://{k // 3}.com/", h) for k, (_, _, h) in enumerate(rows)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract_text(pages).collect()} == {k: words(4, k % 3) for k in range(6)}
+
+
 def test_deep_and_broken_pages():
     assert html_text.Page("<div><b>" * 20_000 + "x").main_text() == "x"
     assert html_text.Page("<p>a <b <i>c</p> d &lt; &#x41; &bogus; <!-- open").main_text().startswith("a")
