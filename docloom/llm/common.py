@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows a side may have to be broadcast; the rows are narrow (under 1 kB).
+#: Most rows and bytes a side may have to be broadcast; both are measured.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
+#: Parts that a key's rows are dealt over in ``spread_join``.
+SALTS = 16
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,16 +38,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def attach(left: DataFrame, right: DataFrame, on: Column, how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join ``right``, broadcast only if its counted rows are few; otherwise both sides are
-    shuffled and adaptive execution splits the keys that are skewed.
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores put before it until no column in ``taken`` has it (case aside)."""
+    used, found = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        found.append(name)
+    return found
+
+
+def attach(left: DataFrame, right: DataFrame, on: Column, how: str = "left", max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join ``right``, broadcast only if its counted rows and measured bytes are few; otherwise both
+    sides are shuffled and adaptive execution splits the keys that are skewed.
 
     ``right`` should be cheap to recompute or already cut.
     """
-    small = right.limit(max_rows + 1).count() <= max_rows
+    width = F.octet_length(F.to_json(F.struct("*")))
+    size = right.select(width.alias("width")).limit(max_rows + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum("width"), F.lit(0)).alias("bytes")).first()
+    small = size["rows"] <= max_rows and size["bytes"] <= max_bytes
     return left.join(F.broadcast(right) if small else right, on, how)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, other: str, salts: int = SALTS) -> DataFrame:
+    """Inner join of ``left`` with the few-columned ``right``, one row a key, on key = other.
+
+    Each row of ``right`` is copied for every salt, so the rows of a key that is frequent in ``left`` are
+    dealt over that many tasks.  No column may be called ``_salt`` or ``_salted``."""
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
+    copies = right.withColumn("_salted", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(copies, (F.col(key) == F.col(other)) & (F.col("_salt") == F.col("_salted"))).drop("_salt", "_salted")
+
+
 def n_words(text: Column) -> Column:
     """The number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

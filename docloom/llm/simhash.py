@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, cut
+from .common import attach, cut, fresh, spread_join
 from .components import connected_components
 
 BITS = 64
@@ -153,13 +153,13 @@ def _at(part: int, key: Column) -> Callable[[Column], Column]:
     return lambda flip: F.struct(F.lit(part).alias("part"), key.bitwiseXOR(flip).alias("key"))
 
 
-def near_links(prints: DataFrame, limit: int = LIMIT, node: str = "fingerprint", group: str | None = None, sketch: tuple[list[str], int] | None = None) -> DataFrame:
+def near_links(prints: DataFrame, limit: int = LIMIT, node: str = "fingerprint", carried: tuple[str, ...] = (), also: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Links (a, b), a < b, of all pairs of nodes whose fingerprints have at most ``limit`` differing bits.
 
-    ``node`` names the column of the nodes' ids, one row each; pairs with equal ``group``, which
-    are known to belong together, are left out, and so are those with more than so many differing
-    bits in the columns of ``sketch``.  A pair is found in the first part that is near enough, and so once."""
-    rows = prints.select("fingerprint", F.col(node).alias("_node"), (F.col(group) if group else F.col(node)).alias("_group"), F.array(*(sketch[0] if sketch else ())).cast("array<long>").alias("_sketch"))
+    ``node`` names the column of the nodes' ids, one row each.  ``also`` is a further condition on the
+    ``carried`` columns of both ends, as structs.  A pair is found in the first part that is near enough,
+    and so once."""
+    rows = prints.select("fingerprint", F.col(node).alias("_node"), F.struct(*carried, F.lit(0).alias("_none")).alias("_with"))
     n, both = bit_statistics(rows)
     filed, looked_up, first = [], [], F.lit(True)
     differing = F.col("_fa").bitwiseXOR(F.col("_fb"))
@@ -170,12 +170,11 @@ def near_links(prints: DataFrame, limit: int = LIMIT, node: str = "fingerprint",
         filed.append(F.struct(F.lit(k).alias("part"), key.alias("key")))
         looked_up.append(F.transform(F.array(*map(F.lit, flips)).cast("array<long>"), _at(k, key)))
         first = first & ((F.col("part") <= k) | (F.bit_count(differing.bitwiseAND(F.lit(mask))) > t))
-    files = rows.select(F.col("_node").alias("b"), F.col("fingerprint").alias("_fb"), F.col("_group").alias("_gb"), F.col("_sketch").alias("_sb"), F.explode(F.array(*filed)).alias("x")).select("b", "_fb", "_gb", "_sb", "x.part", "x.key")
-    lookups = rows.select(F.col("_node").alias("a"), F.col("fingerprint").alias("_fa"), F.col("_group").alias("_ga"), F.col("_sketch").alias("_sa"), F.explode(F.concat(*looked_up)).alias("x")).select("a", "_fa", "_ga", "_sa", F.col("x.part").alias("_part"), F.col("x.key").alias("_key"))
-    near = (F.bit_count(differing) <= limit) & first & (F.col("_ga") != F.col("_gb"))
-    if sketch:
-        apart = sum((F.bit_count(F.get("_sa", F.lit(i)).bitwiseXOR(F.get("_sb", F.lit(i)))) for i in range(len(sketch[0]))), F.lit(0))
-        near = near & (apart <= sketch[1])
+    files = rows.select(F.col("_node").alias("b"), F.col("fingerprint").alias("_fb"), F.col("_with").alias("_wb"), F.explode(F.array(*filed)).alias("x")).select("b", "_fb", "_wb", "x.part", "x.key")
+    lookups = rows.select(F.col("_node").alias("a"), F.col("fingerprint").alias("_fa"), F.col("_with").alias("_wa"), F.explode(F.concat(*looked_up)).alias("x")).select("a", "_fa", "_wa", F.col("x.part").alias("_part"), F.col("x.key").alias("_key"))
+    near = (F.bit_count(differing) <= limit) & first
+    if also is not None:
+        near = near & also(F.col("_wa"), F.col("_wb"))
     found = lookups.join(files, (F.col("part") == F.col("_part")) & (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & near)
     return found.select("a", "b")
 
@@ -190,113 +189,142 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     least = linked.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("_least"))
     of_root = roots.join(least, roots["root"] == least["_root"]).select("node", "_least")
     named = nodes.join(of_root, nodes["fingerprint"] == of_root["node"], "left").select(F.col("fingerprint").alias("_print"), F.coalesce("_least", "least").alias("component_id"))
-    return prints.join(named, prints["fingerprint"] == named["_print"]).select("doc_id", "fingerprint", "component_id")
+    return spread_join(prints, named, "fingerprint", "_print").select("doc_id", "fingerprint", "component_id")
 
 
 # -- near copies by the similarity of their texts
 
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
-#: Limits of the searches by fingerprints, one after the other; what they miss is found by ``shared_shingles``.
-SEARCHES = (3, 6)
+#: The order of shingles in ``prefix_rows`` comes from about so many texts; at most so many shingles that
+#: are in three of them or more count as common.  Both decide the cost only: every order finds all pairs.
+ORDER_SAMPLE = 10_000
+COMMON = 100_000
+#: Sequences a task remembers to pass on equal texts once.
+SEEN = 100_000
+MAP = 8  # longs of a bitmap
+MAPS = tuple(f"map{i}" for i in range(MAP))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
 
+def _sequence(words: list[bytes]) -> int:
+    return _signed(xxhash.xxh64_intdigest(b" ".join(words), SEED))
 
-def word_print(words: list[bytes]) -> int:
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+
+
+def shingle_set(known: np.ndarray, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Hashes of the different shingles, in order, from the hashes of the words."""
+    size = min(shingle, len(known))
+    found = np.full(max(1, len(known) - shingle + 1), size, np.uint64)
+    for i in range(size):
+        found = found * _ODD + known[i : i + len(found)]
+    found ^= found >> np.uint64(32)
+    found *= _ODD
+    return np.unique((found ^ found >> np.uint64(29)).view(np.int64))
+
+
+def word_print(known: np.ndarray) -> int:
     """The fingerprint of the set of words, which changes less with a few edits than that of shingles."""
-    if not words:
+    if not len(known):
         return 0
-    found = {xxhash.xxh64_intdigest(w, SEED) for w in set(words)}
-    bits = np.unpackbits(np.fromiter(found, np.uint64, len(found)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    found = np.unique(known)
+    bits = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(found), bitorder="little").view(np.int64)[0])
 
 
-#: A sketch of the set of shingles: a bit of each of 128 minimal hashes.  The bits of two sets agree with a
-#: probability of (1 + similarity) / 2; at 0.8 one pair in 100 differs in more than SKETCH_LIMIT bits.
-SKETCH = ("sketch_a", "sketch_b")
-SKETCH_LIMIT = 21
-_FACTORS = np.random.default_rng(11).integers(0, 1 << 31, 128, dtype=np.uint32) * 2 + 1
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """For each of 512 classes of hashes, whether a set has an odd number of them: two sets differ in at
+    least as many members as their bitmaps in bits."""
+    return np.packbits(np.bincount(found & (64 * MAP - 1), minlength=64 * MAP).astype(np.uint8) & 1).view(np.int64)
+
 
+def may_be_similar(least: float) -> Callable[[Column, Column], Column]:
+    """Whether two nodes' sizes and bitmaps leave room for a similarity of ``least``; true for all that have it.
 
-def sketch(words: list[bytes], shingle: int = SIMILAR_SHINGLE) -> tuple[int, int]:
-    least = np.full(128, 0xFFFFFFFF, np.uint32)
-    runs = [b" ".join(w) for w in zip(*(words[i:] for i in range(shingle)), strict=False)] or [b" ".join(words)]
-    for k in range(0, len(runs), 512):
-        part = runs[k : k + 512]
-        hashes = np.fromiter((xxhash.xxh32_intdigest(r, SEED) for r in part), np.uint32, len(part))
-        np.minimum(least, (hashes[:, None] * _FACTORS).min(axis=0), out=least)
-    a, b = np.packbits(least >> 9 & 1).view(np.int64)
-    return int(a), int(b)
+    Sets of m and n members with that similarity differ in at most ``(1 - least) / (1 + least) * (m + n)``."""
+
+    def also(a: Column, b: Column) -> Column:
+        differ = sum((F.bit_count(a[c].bitwiseXOR(b[c])) for c in MAPS), F.lit(0))
+        longest, shortest = F.greatest(a["n"], b["n"]), F.least(a["n"], b["n"])
+        return (shortest >= longest * F.lit(least) - 1e-6) & (differ * F.lit(1 + least) <= (a["n"] + b["n"]) * F.lit(1 - least) + 1e-6)
+
+    return also
 
 
 def with_word_prints(docs: DataFrame, text: str = "text", shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     """``docs`` without the text, with ``sequence`` (the hash of its words in order), ``fingerprint`` (of the
-    set of words) and the sketch of its shingles."""
-    made = ("sequence", "fingerprint", *SKETCH)
+    set of words), ``n`` (different shingles) and the bitmap of the shingles."""
+    made = ("sequence", "fingerprint", "n", *MAPS)
     kept = [f for f in docs.schema.fields if f.name not in (text, *made)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for x in batch.column(batch.schema.get_field_index(text)):
-                words = (x.as_py() or "").encode().lower().split()
-                rows.append((_signed(xxhash.xxh64_intdigest(b" ".join(words), SEED)), word_print(words), *sketch(words, shingle)))
+            rows = np.zeros((batch.num_rows, len(made)), np.int64)
+            for i, x in enumerate(batch.column(batch.schema.get_field_index(text))):
+                words = _words(x.as_py())
+                known = _hashes(words)
+                found = shingle_set(known, shingle)
+                rows[i, :3] = _sequence(words), word_print(known), len(found)
+                rows[i, 3:] = bitmap(found)
             rest = batch.select([f.name for f in kept])
-            yield pa.RecordBatch.from_arrays([*rest.columns, *(pa.array([r[i] for r in rows], pa.int64()) for i in range(len(made)))], names=[*rest.schema.names, *made])
+            yield pa.RecordBatch.from_arrays([*rest.columns, *(pa.array(rows[:, i]) for i in range(len(made)))], names=[*rest.schema.names, *made])
 
     return docs.mapInArrow(work, T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in made)]))
 
 
-def shingles(text: str, shingle: int = SIMILAR_SHINGLE) -> set[int]:
-    words = (text or "").encode().lower().split()
-    return {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))}
-
-
-def with_sequence(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_sequence``, the hash of the text's words in order, as ``with_word_prints`` makes it."""
+def with_sequence(docs: DataFrame, text: str = "text", name: str = "_sequence") -> DataFrame:
+    """``docs`` with the hash of the text's words in order, as ``with_word_prints`` makes it."""
     words = F.regexp_replace(F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " ")
-    return docs.withColumn("_sequence", F.xxhash64(F.regexp_replace(words, "^ | $", "")))
+    return docs.withColumn(name, F.xxhash64(F.regexp_replace(words, "^ | $", "")))
 
 
 def similar_enough(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     """The pairs (a, b) of sequences whose texts have a Jaccard similarity of ``least`` or more.
 
-    ``texts``: text, of which only those of the pairs are shuffled."""
+    ``texts``: text, of which only those of the pairs are shuffled; each is hashed once and meets its pairs
+    as the bytes of its set of shingles."""
     needed = cut(pairs.select(F.col("a").alias("_needed")).unionByName(pairs.select(F.col("b").alias("_needed"))).distinct())
-    known = attach(with_sequence(texts.select("text")), needed, F.col("_sequence") == F.col("_needed"), "inner")
-    known = known.select("_sequence", "text").dropDuplicates(["_sequence"])
-    left = known.select(F.col("_sequence").alias("_sa"), F.col("text").alias("ta"))
-    right = known.select(F.col("_sequence").alias("_sb"), F.col("text").alias("tb"))
-    both = pairs.join(left, F.col("a") == F.col("_sa")).join(right, F.col("b") == F.col("_sb")).select("a", "b", "ta", "tb")
+    known = attach(with_sequence(texts.select("text")), needed, F.col("_sequence") == F.col("_needed"), "inner").select("_sequence", "text")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            ids, sets, size = [], [], 0
+            for s, x in zip(batch.column(0), batch.column(1), strict=True):
+                if (sequence := s.as_py()) not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(sequence)
+                    ids.append(sequence)
+                    sets.append(shingle_set(_hashes(_words(x.as_py())), shingle).tobytes())
+                    size += len(sets[-1])
+                if size >= 1 << 23:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["sequence", "members"])
+                    ids, sets, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["sequence", "members"])
+
+    sets = cut(known.mapInArrow(hashed, "sequence long, members binary").dropDuplicates(["sequence"]))
+    left = sets.select(F.col("sequence").alias("_sa"), F.col("members").alias("ma"))
+    right = sets.select(F.col("sequence").alias("_sb"), F.col("members").alias("mb"))
+    both = pairs.join(left, F.col("a") == F.col("_sa")).join(right, F.col("b") == F.col("_sb")).select("a", "b", "ma", "mb")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = shingles(ta.as_py(), shingle), shingles(tb.as_py(), shingle)
-                common = len(x & y)
-                good.append(common >= least * (len(x) + len(y) - common))
+            for ma, mb in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(ma.as_buffer(), np.int64), np.frombuffer(mb.as_buffer(), np.int64)
+                common = len(x) + len(y) - len(np.union1d(x, y))
+                good.append(common >= least * (len(x) + len(y) - common) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(work, "a long, b long")
-
-
-#: The order of shingles in ``shared_shingles`` comes from about so many texts; at most so many shingles that
-#: are in three of them or more count as common.  Both decide the cost only: every order finds all pairs.
-ORDER_SAMPLE = 10_000
-COMMON = 100_000
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingle_set(words: list[bytes], shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
-    """Hashes of the different shingles, in order; of equal number to ``shingles``."""
-    known = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-    size = min(shingle, len(words))
-    found = np.full(max(1, len(words) - shingle + 1), size, np.uint64)
-    for i in range(size):
-        found = found * _ODD + known[i : i + len(found)]
-    found ^= found >> np.uint64(32)
-    found *= _ODD
-    return np.unique((found ^ found >> np.uint64(29)).view(np.int64))
+    return both.mapInArrow(compare, "a long, b long")
 
 
 def common_shingles(texts: DataFrame, shingle: int = SIMILAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -305,7 +333,7 @@ def common_shingles(texts: DataFrame, shingle: int = SIMILAR_SHINGLE) -> tuple[n
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set((x.as_py() or "").encode().lower().split(), shingle) for x in batch.column(0)]
+            sets = [shingle_set(_hashes(_words(x.as_py())), shingle) for x in batch.column(0)]
             found, n = np.unique(np.concatenate(sets or [np.zeros(0, np.int64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["shingle", "n"])
 
@@ -316,79 +344,136 @@ def common_shingles(texts: DataFrame, shingle: int = SIMILAR_SHINGLE) -> tuple[n
     return found[order], len(found) - order  # the most frequent one comes last
 
 
-def shared_shingles(texts: DataFrame, grouped: DataFrame, least: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """Pairs (a, b) of sequences in different groups, among them all with a similarity of ``least`` or more.
+def prefix_rows(texts: DataFrame, least: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """(shingle, sequence, n, place): the first ``n - least * n + 1`` shingles of every text's set of n.
 
-    Sets of m and n shingles that are this similar share ``least * max(m, n)``, so whatever the order of
-    the shingles, they share one of the first ``n - least * n + 1`` of each; rare ones are put first.  From
-    the first that is shared on, enough must be left of both sets."""
+    Sets of m and n shingles with a similarity of ``least`` share ``least * max(m, n)``, so whatever the
+    order of the shingles, they share one of these; rare ones are put first.  A task gives out equal texts once."""
     common, places = common_shingles(texts, shingle)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for x in batch.column(0):
-                words = (x.as_py() or "").encode().lower().split()
-                found = shingle_set(words, shingle)
+                words = _words(x.as_py())
+                sequence = _sequence(words)
+                if sequence in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(sequence)
+                found = shingle_set(_hashes(words), shingle)
                 place = np.zeros(len(found), np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
                     place = np.where(common[at] == found, places[at], 0)
                 n = len(found)
                 first = found[np.lexsort((found, place))][: n - math.ceil(least * n - 1e-6) + 1]
-                sequence = _signed(xxhash.xxh64_intdigest(b" ".join(words), SEED))
-                columns = [pa.array(np.full(len(first), sequence), pa.int64()), pa.array(first, pa.int64()), pa.array(np.full(len(first), n), pa.int32()), pa.array(np.arange(len(first)), pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["sequence", "shingle", "n", "place"])
+                columns = [pa.array(first), pa.array(np.full(len(first), sequence)), pa.array(np.full(len(first), n, np.int32)), pa.array(np.arange(len(first), dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["shingle", "sequence", "n", "place"])
 
-    rows = texts.select("text").mapInArrow(work, "sequence long, shingle long, n int, place int")
-    same = Window.partitionBy("shingle")
-    several = rows.withColumn("_least", F.min("sequence").over(same)).withColumn("_most", F.max("sequence").over(same)).where("_least <> _most")
-    shared = several.select("sequence", "shingle", "n", "place").distinct()
-    groups = grouped.select(F.col("sequence").alias("_of"), "group")
-    shared = cut(shared.join(groups, F.col("sequence") == F.col("_of")).drop("_of"))
-    left = shared.select(F.col("sequence").alias("a"), F.col("shingle").alias("_xa"), F.col("n").alias("_na"), F.col("place").alias("_pa"), F.col("group").alias("_ga"))
-    right = shared.select(F.col("sequence").alias("b"), F.col("shingle").alias("_xb"), F.col("n").alias("_nb"), F.col("place").alias("_pb"), F.col("group").alias("_gb"))
-    most = F.least(F.col("_na") - F.col("_pa"), F.col("_nb") - F.col("_pb"))
-    enough = most >= (F.col("_na") + F.col("_nb")) * F.lit(least / (1 + least)) - 1e-6
-    return left.join(right, (F.col("_xa") == F.col("_xb")) & (F.col("a") < F.col("b")) & (F.col("_ga") != F.col("_gb")) & enough).select("a", "b").distinct()
-
-
-def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", searches: tuple[int, ...] = SEARCHES, least: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    return texts.select("text").mapInArrow(work, "shingle long, sequence long, n int, place int")
+
+
+def _distinct_pairs(pairs: DataFrame) -> DataFrame:
+    return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+
+
+def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes with ``group``, the smallest sequence that can be reached."""
+    roots = connected_components(links)
+    return cut(nodes.join(roots, nodes["sequence"] == roots["node"], "left").select(*nodes.columns, F.coalesce("root", "sequence").alias("group")))
+
+
+def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limit: int = LIMIT, least: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     """(doc_id, sequence, component_id, component_sequence) of every row: the groups of all texts with a
     similarity of ``least`` or more on their sets of word shingles; component_id and component_sequence
     are those of the group's row with the smallest id, null ids last.
 
-    Texts with equal words are one node.  Searches by fingerprints of words find most pairs at little
-    cost; all others come from ``shared_shingles``.  Each search leaves out the pairs that those before
-    have put into one group, so a group of thousands of near copies is not spelled out as pairs."""
+    Texts with equal words are one node.  No pair is lost, and no group is spelled out as pairs:
+
+    1. The pigeonhole search finds the word fingerprints within ``limit`` bits of each other; texts of one
+       fingerprint, in the order of their sizes, are compared each with the next.
+    2. Texts that share a shingle of their prefixes (``prefix_rows``), again in the order of their sizes, are
+       compared each with the next.
+    3. What similar texts are not in one group by then share a shingle of their prefixes: all pairs of different
+       groups that do are candidates.  Of the largest group at a shingle only pairs with others are made.
+
+    Candidates whose sizes or bitmaps rule the similarity out go, all others are compared exactly.
+
+    Null texts count as empty; empty texts are one node; very long texts are read whole; repeated rows
+    stay; null ids take no part in the choice of the smallest id; columns of other names are ignored; an
+    empty table gives an empty result."""
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    similar = may_be_similar(least)
     rows = cut(with_word_prints(texts, "text", shingle))
-    made = ["fingerprint", *SKETCH]  # equal for equal sequences
+    made = ["fingerprint", "n", *MAPS]  # equal for equal sequences
     nodes = cut(rows.groupBy("sequence").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in made]))
-    grouped, links = nodes.withColumn("group", F.col("sequence")), None
-    for limit in (*searches, None):
-        found = near_links(grouped, limit, "sequence", "group", (list(SKETCH), SKETCH_LIMIT)) if limit is not None else shared_shingles(texts, grouped, least, shingle)
-        good = similar_enough(cut(found), texts, least, shingle)
-        links = cut(good if links is None else links.unionByName(good))
-        roots = connected_components(links)
-        grouped = cut(nodes.join(roots, nodes["sequence"] == roots["node"], "left").select("sequence", "least", *made, F.coalesce("root", "sequence").alias("group")))
+    ends = nodes.select("sequence", "fingerprint", F.struct("n", *MAPS).alias("about"))
+
+    # 1. by fingerprint
+    by_print = Window.partitionBy("fingerprint").orderBy("about.n", "sequence")
+    chained = ends.withColumn("_b", F.lag("sequence").over(by_print)).withColumn("_about", F.lag("about").over(by_print))
+    equal = chained.where(F.col("_b").isNotNull()).where(similar(F.col("about"), F.col("_about"))).select(F.col("sequence").alias("a"), F.col("_b").alias("b"))
+    heads = cut(nodes.groupBy("fingerprint").agg(F.min(F.struct("sequence", "n", *MAPS)).alias("h")).select("fingerprint", "h.*"))
+    near = near_links(heads, limit, "sequence", ("n", *MAPS), similar)
+    links = cut(similar_enough(_distinct_pairs(equal.unionByName(near)), texts, least, shingle))
+    grouped = _grouped(nodes, links)
+
+    # 2. along shared shingles
+    same = Window.partitionBy("shingle")
+    several = prefix_rows(texts, least, shingle).withColumn("_least", F.min("sequence").over(same)).withColumn("_most", F.max("sequence").over(same)).where("_least <> _most")
+    several = cut(several.select("shingle", "sequence", "n", "place").distinct())
+
+    def about(groups: DataFrame) -> DataFrame:
+        of = groups.select(F.col("sequence").alias("_of"), "group", F.struct("n", *MAPS).alias("about"))
+        return several.join(of, F.col("sequence") == F.col("_of")).select("shingle", "sequence", "place", "group", "about")
+
+    def room(place: str, a: str, other: str, b: str) -> Column:
+        """From the first shared shingle on enough must be left of both sets."""
+        left, right = F.col(a)["n"] - F.col(place), F.col(b)["n"] - F.col(other)
+        return F.least(left, right) >= (F.col(a)["n"] + F.col(b)["n"]) * F.lit(least / (1 + least)) - 1e-6
+
+    by_size = Window.partitionBy("shingle").orderBy("about.n", "sequence")
+    before = {f"_{c}": F.lag(c).over(by_size) for c in ("sequence", "group", "about", "place")}
+    next_to = about(grouped).withColumns(before).where("`group` <> _group").where(similar(F.col("about"), F.col("_about")) & room("place", "about", "_place", "_about"))
+    links = cut(links.unionByName(similar_enough(_distinct_pairs(next_to.select(F.col("sequence").alias("a"), F.col("_sequence").alias("b"))), texts, least, shingle)))
+    grouped = _grouped(nodes, links)
+
+    # 3. the rest
+    members = about(grouped)
+    counts = members.groupBy("shingle", "group").agg(F.count("*").alias("size"))
+    mixed = counts.groupBy(F.col("shingle").alias("_shingle")).agg(F.max(F.struct("size", "group")).alias("_largest"), F.count("*").alias("_groups")).where("_groups > 1")
+    rest = cut(members.join(mixed, F.col("shingle") == F.col("_shingle")).select("shingle", "sequence", "place", "group", "about", (F.col("group") == F.col("_largest.group")).alias("large")))
+    left = rest.where("not large").select(F.col("shingle").alias("_xa"), F.col("sequence").alias("a"), F.col("place").alias("_pa"), F.col("group").alias("_ga"), F.col("about").alias("_ma"))
+    right = rest.select(F.col("shingle").alias("_xb"), F.col("sequence").alias("b"), F.col("place").alias("_pb"), F.col("group").alias("_gb"), F.col("about").alias("_mb"), "large")
+    once = F.col("large") | (F.col("a") < F.col("b"))
+    pairs = left.join(right, (F.col("_xa") == F.col("_xb")) & (F.col("_ga") != F.col("_gb")) & once & room("_pa", "_ma", "_pb", "_mb") & similar(F.col("_ma"), F.col("_mb")))
+    links = cut(links.unionByName(similar_enough(_distinct_pairs(pairs.select("a", "b")), texts, least, shingle)))
+    grouped = _grouped(nodes, links)
+
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "sequence")).alias("_first")
     of_group = grouped.groupBy(F.col("group").alias("_group")).agg(first)
     named = grouped.join(of_group, F.col("group") == F.col("_group")).select(F.col("sequence").alias("_sequence"), F.col("_first.least").alias("component_id"), F.col("_first.sequence").alias("component_sequence"))
-    return rows.join(named, F.col("sequence") == F.col("_sequence")).select("doc_id", "sequence", "component_id", "component_sequence")
+    return spread_join(rows.select("doc_id", "sequence"), named, "sequence", "_sequence").select("doc_id", "sequence", "component_id", "component_sequence")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group: that with the smallest id, null ids last, and of equal ids one text.
 
     ``groups``: the rows of ``similar_documents``.  A row is known by its id and the words of its text, so
-    rows without an id and different texts of one id go only with their own group.  Only those of rows
-    to go or to be thinned meet the texts in a join."""
+    rows without an id and different texts of one id go only with their own group; of rows with equal
+    ids and words the one that comes first as JSON stays.  Only those of rows to go or to be thinned
+    meet the texts in a join.  Columns of any name may be there."""
+    name, of, of_id, rows_of, kept = fresh(docs.columns, "_sequence", "_of", "_id", "_rows", "_kept")
     first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("sequence") == F.col("component_sequence"))
-    ids = groups.groupBy(F.col("doc_id").alias("_id"), F.col("sequence").alias("_of")).agg(F.count("*").alias("_rows"), F.max(first).alias("_kept"))
-    changes = cut(ids.where("not _kept or _rows > 1"))
-    rows = with_sequence(docs, text)
-    known = attach(rows, changes, (rows["_sequence"] == changes["_of"]) & rows[doc_id].eqNullSafe(changes["_id"])).where("_kept is null or _kept")
-    once = known.where("_rows is null").select(docs.columns)
-    if changes.where("_kept").isEmpty():
+    ids = groups.groupBy(F.col("doc_id").alias(of_id), F.col("sequence").alias(of)).agg(F.count("*").alias(rows_of), F.max(first).alias(kept))
+    changes = cut(ids.where(~F.col(kept) | (F.col(rows_of) > 1)))
+    rows = with_sequence(docs, text, name)
+    known = attach(rows, changes, (rows[name] == changes[of]) & rows[doc_id].eqNullSafe(changes[of_id])).where(F.col(kept).isNull() | F.col(kept))
+    once = known.where(F.col(rows_of).isNull()).select(docs.columns)
+    if changes.where(F.col(kept)).isEmpty():
         return once
-    return once.unionByName(known.where("_rows > 1").dropDuplicates([doc_id, "_sequence"]).select(docs.columns))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    thinned = known.where(F.col(rows_of) > 1).groupBy(F.col(f"`{doc_id}`").alias(of_id), F.col(name).alias(of)).agg(F.min_by(whole, F.to_json(whole)).alias(kept))
+    return once.unionByName(thinned.select(f"{kept}.*"))
