@@ -245,6 +245,22 @@ def bitmap(found: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(found & (64 * MAP - 1), minlength=64 * MAP).astype(np.uint8) & 1).view(np.int64)
 
 
+def wide_bitmap(found: np.ndarray) -> bytes | None:
+    """The same with at least two classes for each member, of sets too large for ``bitmap`` to tell apart."""
+    if len(found) <= 64 * MAP:
+        return None
+    bits = 1 << (2 * len(found) - 1).bit_length()
+    return np.packbits(np.bincount(found & (bits - 1), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """Differing bits of two wide bitmaps, the wider one folded to the classes of the other."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def may_be_similar(least: float) -> Callable[[Column, Column], Column]:
     """Whether two nodes' sizes and bitmaps leave room for a similarity of ``least``; true for all that have it.
 
@@ -260,23 +276,24 @@ def may_be_similar(least: float) -> Callable[[Column, Column], Column]:
 
 def with_word_prints(docs: DataFrame, text: str = "text", shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     """``docs`` without the text, with ``sequence`` (the hash of its words in order), ``fingerprint`` (of the
-    set of words), ``n`` (different shingles) and the bitmap of the shingles."""
+    set of words), ``n`` (different shingles), the bitmap of the shingles and, of large sets, the wide one."""
     made = ("sequence", "fingerprint", "n", *MAPS)
-    kept = [f for f in docs.schema.fields if f.name not in (text, *made)]
+    kept = [f for f in docs.schema.fields if f.name not in (text, *made, "wide")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.zeros((batch.num_rows, len(made)), np.int64)
+            rows, wides = np.zeros((batch.num_rows, len(made)), np.int64), []
             for i, x in enumerate(batch.column(batch.schema.get_field_index(text))):
                 words = _words(x.as_py())
                 known = _hashes(words)
                 found = shingle_set(known, shingle)
                 rows[i, :3] = _sequence(words), word_print(known), len(found)
                 rows[i, 3:] = bitmap(found)
+                wides.append(wide_bitmap(found))
             rest = batch.select([f.name for f in kept])
-            yield pa.RecordBatch.from_arrays([*rest.columns, *(pa.array(rows[:, i]) for i in range(len(made)))], names=[*rest.schema.names, *made])
+            yield pa.RecordBatch.from_arrays([*rest.columns, *(pa.array(rows[:, i]) for i in range(len(made))), pa.array(wides, pa.binary())], names=[*rest.schema.names, *made, "wide"])
 
-    return docs.mapInArrow(work, T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in made)]))
+    return docs.mapInArrow(work, T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in made), T.StructField("wide", T.BinaryType())]))
 
 
 def with_sequence(docs: DataFrame, text: str = "text", name: str = "_sequence") -> DataFrame:
@@ -285,6 +302,25 @@ def with_sequence(docs: DataFrame, text: str = "text", name: str = "_sequence")
     return docs.withColumn(name, F.xxhash64(F.regexp_replace(words, "^ | $", "")))
 
 
+def within_bounds(pairs: DataFrame, nodes: DataFrame, wides: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps leave room for a similarity of ``least``.
+
+    ``nodes``: sequence and about (n and the bitmap); ``wides``: sequence, n and wide of large sets."""
+    x, y = (nodes.select(F.col("sequence").alias(f"_s{e}"), F.col("about").alias(f"_m{e}")) for e in "ab")
+    pairs = pairs.join(x, F.col("a") == F.col("_sa")).join(y, F.col("b") == F.col("_sb")).where(may_be_similar(least)(F.col("_ma"), F.col("_mb"))).select("a", "b")
+    x, y = (wides.select(F.col("sequence").alias(f"_s{e}"), F.col("n").alias(f"n{e}"), F.col("wide").alias(f"w{e}")) for e in "ab")
+    both = pairs.join(x, F.col("a") == F.col("_sa"), "left").join(y, F.col("b") == F.col("_sb"), "left").select("a", "b", "na", "nb", "wa", "wb")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for na, nb, wa, wb in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                good.append(wa is None or wb is None or bits_apart(wa, wb) * (1 + least) <= (na + nb) * (1 - least) + 1e-6)
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(work, "a long, b long")
+
+
 def similar_enough(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     """The pairs (a, b) of sequences whose texts have a Jaccard similarity of ``least`` or more.
 
@@ -310,7 +346,7 @@ def similar_enough(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY
                     ids, sets, size = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["sequence", "members"])
 
-    sets = cut(known.mapInArrow(hashed, "sequence long, members binary").dropDuplicates(["sequence"]))
+    sets = known.mapInArrow(hashed, "sequence long, members binary").groupBy("sequence").agg(F.first("members").alias("members"))
     left = sets.select(F.col("sequence").alias("_sa"), F.col("members").alias("ma"))
     right = sets.select(F.col("sequence").alias("_sb"), F.col("members").alias("mb"))
     both = pairs.join(left, F.col("a") == F.col("_sa")).join(right, F.col("b") == F.col("_sb")).select("a", "b", "ma", "mb")
@@ -375,16 +411,6 @@ def prefix_rows(texts: DataFrame, least: float = SIMILARITY, shingle: int = SIMI
     return texts.select("text").mapInArrow(work, "shingle long, sequence long, n int, place int")
 
 
-def _distinct_pairs(pairs: DataFrame) -> DataFrame:
-    return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-
-
-def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """nodes with ``group``, the smallest sequence that can be reached."""
-    roots = connected_components(links)
-    return cut(nodes.join(roots, nodes["sequence"] == roots["node"], "left").select(*nodes.columns, F.coalesce("root", "sequence").alias("group")))
-
-
 def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limit: int = LIMIT, least: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     """(doc_id, sequence, component_id, component_sequence) of every row: the groups of all texts with a
     similarity of ``least`` or more on their sets of word shingles; component_id and component_sequence
@@ -394,10 +420,11 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 
     1. The pigeonhole search finds the word fingerprints within ``limit`` bits of each other; texts of one
        fingerprint, in the order of their sizes, are compared each with the next.
-    2. Texts that share a shingle of their prefixes (``prefix_rows``), again in the order of their sizes, are
-       compared each with the next.
-    3. What similar texts are not in one group by then share a shingle of their prefixes: all pairs of different
-       groups that do are candidates.  Of the largest group at a shingle only pairs with others are made.
+    2. Texts that share a shingle of their prefixes (``prefix_rows``), once in the order of their sizes and once
+       in that of a hash, are compared each with the next.
+    3. What similar texts are not in one group by then share a shingle of their prefixes with a third: all
+       pairs of different groups that do are candidates.  Of the largest group at a shingle only pairs with
+       others are made.
 
     Candidates whose sizes or bitmaps rule the similarity out go, all others are compared exactly.
 
@@ -409,49 +436,56 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     rows = cut(with_word_prints(texts, "text", shingle))
     made = ["fingerprint", "n", *MAPS]  # equal for equal sequences
     nodes = cut(rows.groupBy("sequence").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in made]))
+    wides = cut(rows.where("wide is not null").groupBy("sequence").agg(F.min("n").alias("n"), F.first("wide").alias("wide")))
     ends = nodes.select("sequence", "fingerprint", F.struct("n", *MAPS).alias("about"))
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        return similar_enough(cut(within_bounds(once, ends, wides, least)), texts, least, shingle)
+
     # 1. by fingerprint
     by_print = Window.partitionBy("fingerprint").orderBy("about.n", "sequence")
-    chained = ends.withColumn("_b", F.lag("sequence").over(by_print)).withColumn("_about", F.lag("about").over(by_print))
-    equal = chained.where(F.col("_b").isNotNull()).where(similar(F.col("about"), F.col("_about"))).select(F.col("sequence").alias("a"), F.col("_b").alias("b"))
+    chained = ends.withColumns({"_b": F.lag("sequence").over(by_print), "_about": F.lag("about").over(by_print)}).where("_b is not null")
+    equal = chained.where(similar(F.col("about"), F.col("_about"))).select(F.col("sequence").alias("a"), F.col("_b").alias("b"))
     heads = cut(nodes.groupBy("fingerprint").agg(F.min(F.struct("sequence", "n", *MAPS)).alias("h")).select("fingerprint", "h.*"))
-    near = near_links(heads, limit, "sequence", ("n", *MAPS), similar)
-    links = cut(similar_enough(_distinct_pairs(equal.unionByName(near)), texts, least, shingle))
-    grouped = _grouped(nodes, links)
+    links = cut(verified(equal.unionByName(near_links(heads, limit, "sequence", ("n", *MAPS), similar))))
+    roots = cut(connected_components(links))
 
     # 2. along shared shingles
     same = Window.partitionBy("shingle")
     several = prefix_rows(texts, least, shingle).withColumn("_least", F.min("sequence").over(same)).withColumn("_most", F.max("sequence").over(same)).where("_least <> _most")
     several = cut(several.select("shingle", "sequence", "n", "place").distinct())
 
-    def about(groups: DataFrame) -> DataFrame:
-        of = groups.select(F.col("sequence").alias("_of"), "group", F.struct("n", *MAPS).alias("about"))
-        return several.join(of, F.col("sequence") == F.col("_of")).select("shingle", "sequence", "place", "group", "about")
+    def members() -> DataFrame:
+        """several with the group, the smallest sequence that can be reached."""
+        of = roots.where("node <> root")
+        return attach(several, of, several["sequence"] == of["node"]).select(*several.columns, F.coalesce("root", "sequence").alias("group"))
 
-    def room(place: str, a: str, other: str, b: str) -> Column:
-        """From the first shared shingle on enough must be left of both sets."""
-        left, right = F.col(a)["n"] - F.col(place), F.col(b)["n"] - F.col(other)
-        return F.least(left, right) >= (F.col(a)["n"] + F.col(b)["n"]) * F.lit(least / (1 + least)) - 1e-6
+    def room(na: str, pa_: str, nb: str, pb: str) -> Column:
+        """Sizes are near, and from the first shared shingle on enough is left of both sets."""
+        near = F.least(na, nb) >= F.greatest(na, nb) * F.lit(least) - 1e-6
+        return near & (F.least(F.col(na) - F.col(pa_), F.col(nb) - F.col(pb)) >= (F.col(na) + F.col(nb)) * F.lit(least / (1 + least)) - 1e-6)
 
-    by_size = Window.partitionBy("shingle").orderBy("about.n", "sequence")
-    before = {f"_{c}": F.lag(c).over(by_size) for c in ("sequence", "group", "about", "place")}
-    next_to = about(grouped).withColumns(before).where("`group` <> _group").where(similar(F.col("about"), F.col("_about")) & room("place", "about", "_place", "_about"))
-    links = cut(links.unionByName(similar_enough(_distinct_pairs(next_to.select(F.col("sequence").alias("a"), F.col("_sequence").alias("b"))), texts, least, shingle)))
-    grouped = _grouped(nodes, links)
+    for order in ("n", F.xxhash64("sequence")):
+        by_order = Window.partitionBy("shingle").orderBy(order, "sequence")
+        before = {f"_{c}": F.lag(c).over(by_order) for c in ("sequence", "group", "n", "place")}
+        next_to = members().withColumns(before).where("`group` <> _group").where(room("n", "place", "_n", "_place"))
+        links = cut(links.unionByName(verified(next_to.select(F.col("sequence").alias("a"), F.col("_sequence").alias("b")))))
+        roots = cut(connected_components(links))
 
     # 3. the rest
-    members = about(grouped)
-    counts = members.groupBy("shingle", "group").agg(F.count("*").alias("size"))
-    mixed = counts.groupBy(F.col("shingle").alias("_shingle")).agg(F.max(F.struct("size", "group")).alias("_largest"), F.count("*").alias("_groups")).where("_groups > 1")
-    rest = cut(members.join(mixed, F.col("shingle") == F.col("_shingle")).select("shingle", "sequence", "place", "group", "about", (F.col("group") == F.col("_largest.group")).alias("large")))
-    left = rest.where("not large").select(F.col("shingle").alias("_xa"), F.col("sequence").alias("a"), F.col("place").alias("_pa"), F.col("group").alias("_ga"), F.col("about").alias("_ma"))
-    right = rest.select(F.col("shingle").alias("_xb"), F.col("sequence").alias("b"), F.col("place").alias("_pb"), F.col("group").alias("_gb"), F.col("about").alias("_mb"), "large")
+    placed = cut(members())
+    mixed = placed.groupBy("shingle", "group").agg(F.count("*").alias("size")).groupBy(F.col("shingle").alias("_shingle")).agg(F.max(F.struct("size", "group")).alias("_largest"), F.count("*").alias("_groups"), F.sum("size").alias("_rows")).where("_groups > 1 and _rows > 2")
+    rest = cut(placed.join(mixed, F.col("shingle") == F.col("_shingle")).select("shingle", "sequence", "n", "place", "group", (F.col("group") == F.col("_largest.group")).alias("large")))
+    left = rest.where("not large").select(F.col("shingle").alias("_xa"), F.col("sequence").alias("a"), F.col("n").alias("_na"), F.col("place").alias("_pa"), F.col("group").alias("_ga"))
+    right = rest.select(F.col("shingle").alias("_xb"), F.col("sequence").alias("b"), F.col("n").alias("_nb"), F.col("place").alias("_pb"), F.col("group").alias("_gb"), "large")
     once = F.col("large") | (F.col("a") < F.col("b"))
-    pairs = left.join(right, (F.col("_xa") == F.col("_xb")) & (F.col("_ga") != F.col("_gb")) & once & room("_pa", "_ma", "_pb", "_mb") & similar(F.col("_ma"), F.col("_mb")))
-    links = cut(links.unionByName(similar_enough(_distinct_pairs(pairs.select("a", "b")), texts, least, shingle)))
-    grouped = _grouped(nodes, links)
+    pairs = left.join(right, (F.col("_xa") == F.col("_xb")) & (F.col("_ga") != F.col("_gb")) & once & room("_na", "_pa", "_nb", "_pb"))
+    found = cut(verified(pairs.select("a", "b")))
+    if not found.isEmpty():
+        roots = cut(connected_components(cut(links.unionByName(found))))
 
+    grouped = nodes.join(roots, nodes["sequence"] == roots["node"], "left").select("sequence", "least", F.coalesce("root", "sequence").alias("group"))
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "sequence")).alias("_first")
     of_group = grouped.groupBy(F.col("group").alias("_group")).agg(first)
     named = grouped.join(of_group, F.col("group") == F.col("_group")).select(F.col("sequence").alias("_sequence"), F.col("_first.least").alias("component_id"), F.col("_first.sequence").alias("component_sequence"))
