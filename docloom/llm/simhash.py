@@ -245,20 +245,23 @@ def bitmap(found: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(found & (64 * MAP - 1), minlength=64 * MAP).astype(np.uint8) & 1).view(np.int64)
 
 
-def wide_bitmap(found: np.ndarray) -> bytes | None:
+def wide_bitmap(found: np.ndarray) -> np.ndarray | None:
     """The same with at least two classes for each member, of sets too large for ``bitmap`` to tell apart."""
     if len(found) <= 64 * MAP:
         return None
     bits = 1 << (2 * len(found) - 1).bit_length()
-    return np.packbits(np.bincount(found & (bits - 1), minlength=bits).astype(np.uint8) & 1).tobytes()
+    return np.packbits(np.bincount(found & (bits - 1), minlength=bits).astype(np.uint8) & 1).view(np.int64)
 
 
-def bits_apart(x: bytes, y: bytes) -> int:
-    """Differing bits of two wide bitmaps, the wider one folded to the classes of the other."""
-    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+def bits_apart(x: Column, y: Column) -> Column:
+    """Differing bits of two wide bitmaps, the wider one (twice as wide at most) folded to the classes of the other."""
+
+    def folded(a: Column, b: Column) -> Column:
+        half = (F.size(a) / 2).cast("int")
+        both = F.zip_with(F.slice(a, F.lit(1), F.greatest(half, F.lit(1))), F.slice(a, half + 1, F.greatest(half, F.lit(1))), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(a) > F.size(b), both).otherwise(a)
+
+    return F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
 
 
 def may_be_similar(least: float) -> Callable[[Column, Column], Column]:
@@ -291,9 +294,9 @@ def with_word_prints(docs: DataFrame, text: str = "text", shingle: int = SIMILAR
                 rows[i, 3:] = bitmap(found)
                 wides.append(wide_bitmap(found))
             rest = batch.select([f.name for f in kept])
-            yield pa.RecordBatch.from_arrays([*rest.columns, *(pa.array(rows[:, i]) for i in range(len(made))), pa.array(wides, pa.binary())], names=[*rest.schema.names, *made, "wide"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, *(pa.array(rows[:, i]) for i in range(len(made))), pa.array(wides, pa.list_(pa.int64()))], names=[*rest.schema.names, *made, "wide"])
 
-    return docs.mapInArrow(work, T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in made), T.StructField("wide", T.BinaryType())]))
+    return docs.mapInArrow(work, T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in made), T.StructField("wide", T.ArrayType(T.LongType()))]))
 
 
 def with_sequence(docs: DataFrame, text: str = "text", name: str = "_sequence") -> DataFrame:
@@ -309,23 +312,16 @@ def within_bounds(pairs: DataFrame, nodes: DataFrame, wides: DataFrame, least: f
     x, y = (nodes.select(F.col("sequence").alias(f"_s{e}"), F.col("about").alias(f"_m{e}")) for e in "ab")
     pairs = pairs.join(x, F.col("a") == F.col("_sa")).join(y, F.col("b") == F.col("_sb")).where(may_be_similar(least)(F.col("_ma"), F.col("_mb"))).select("a", "b")
     x, y = (wides.select(F.col("sequence").alias(f"_s{e}"), F.col("n").alias(f"n{e}"), F.col("wide").alias(f"w{e}")) for e in "ab")
-    both = pairs.join(x, F.col("a") == F.col("_sa"), "left").join(y, F.col("b") == F.col("_sb"), "left").select("a", "b", "na", "nb", "wa", "wb")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for na, nb, wa, wb in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                good.append(wa is None or wb is None or bits_apart(wa, wb) * (1 + least) <= (na + nb) * (1 - least) + 1e-6)
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    return both.mapInArrow(work, "a long, b long")
+    both = pairs.join(x, F.col("a") == F.col("_sa"), "left").join(y, F.col("b") == F.col("_sb"), "left")
+    room = bits_apart(F.col("wa"), F.col("wb")) * F.lit(1 + least) <= (F.col("na") + F.col("nb")) * F.lit(1 - least) + 1e-6
+    return both.where(F.col("wa").isNull() | F.col("wb").isNull() | room).select("a", "b")
 
 
 def similar_enough(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     """The pairs (a, b) of sequences whose texts have a Jaccard similarity of ``least`` or more.
 
     ``texts``: text, of which only those of the pairs are shuffled; each is hashed once and meets its pairs
-    as the bytes of its set of shingles."""
+    as its set of shingles."""
     needed = cut(pairs.select(F.col("a").alias("_needed")).unionByName(pairs.select(F.col("b").alias("_needed"))).distinct())
     known = attach(with_sequence(texts.select("text")), needed, F.col("_sequence") == F.col("_needed"), "inner").select("_sequence", "text")
 
@@ -339,28 +335,19 @@ def similar_enough(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY
                         seen.clear()
                     seen.add(sequence)
                     ids.append(sequence)
-                    sets.append(shingle_set(_hashes(_words(x.as_py())), shingle).tobytes())
+                    sets.append(shingle_set(_hashes(_words(x.as_py())), shingle))
                     size += len(sets[-1])
-                if size >= 1 << 23:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["sequence", "members"])
+                if size >= 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["sequence", "members"])
                     ids, sets, size = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["sequence", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["sequence", "members"])
 
-    sets = known.mapInArrow(hashed, "sequence long, members binary").groupBy("sequence").agg(F.first("members").alias("members"))
+    sets = known.mapInArrow(hashed, "sequence long, members array<long>").groupBy("sequence").agg(F.first("members").alias("members"))
     left = sets.select(F.col("sequence").alias("_sa"), F.col("members").alias("ma"))
     right = sets.select(F.col("sequence").alias("_sb"), F.col("members").alias("mb"))
-    both = pairs.join(left, F.col("a") == F.col("_sa")).join(right, F.col("b") == F.col("_sb")).select("a", "b", "ma", "mb")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for ma, mb in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(ma.as_buffer(), np.int64), np.frombuffer(mb.as_buffer(), np.int64)
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                good.append(common >= least * (len(x) + len(y) - common) - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    return both.mapInArrow(compare, "a long, b long")
+    both = pairs.join(left, F.col("a") == F.col("_sa")).join(right, F.col("b") == F.col("_sb"))
+    common = F.size(F.array_intersect("ma", "mb"))
+    return both.where(common * F.lit(1 + least) >= (F.size("ma") + F.size("mb")) * F.lit(least) - 1e-9).select("a", "b")
 
 
 def common_shingles(texts: DataFrame, shingle: int = SIMILAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
