@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Most rows and bytes a side may have to be broadcast; both are measured.
 BROADCAST_ROWS = 100_000
@@ -14,6 +16,9 @@ BROADCAST_BYTES = 32 << 20
 #: Parts that a key's rows are dealt over in ``spread_join``.
 SALTS = 16
 
+#: Most bytes of a batch that goes to a Python worker (one row at least).
+BATCH_BYTES = 4 << 20
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -71,6 +76,14 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, other: str, salts:
     return salted.join(copies, (F.col(key) == F.col(other)) & (F.col("_salt") == F.col("_salted"))).drop("_salt", "_salted")
 
 
+def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow``, in batches of few bytes: executor and worker hold several copies of each.
+
+    The bound is a setting of the session, since Spark reads it when the plan starts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(work, schema)
+
+
 def n_words(text: Column) -> Column:
     """The number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

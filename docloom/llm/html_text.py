@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, cut
+from .common import attach, cut, map_arrow
 from .urls import url_host
 
 PAGES = 3
@@ -229,7 +229,7 @@ def token_vectors(pages: DataFrame) -> DataFrame:
             types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
-    parts = pages.select("host", "html").mapInArrow(work, TOKENS + ", least long, most long")
+    parts = map_arrow(pages.select("host", "html"), work, TOKENS + ", least long, most long")
     sums = F.pmod(F.sum("vector"), F.lit(1 << 42)).alias("vector")
     return parts.groupBy("host", "token").agg(F.min("parent").alias("parent"), F.max("is_text").alias("is_text"), F.sum("pages").alias("pages"), F.sum("total").alias("total"), sums, F.min("least").alias("least"), F.max("most").alias("most"))
 
@@ -269,4 +269,4 @@ def extract_text(pages: DataFrame, url: str = "url", source: str = "html", text:
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(out, pa.string())], names=[*rest.schema.names, text])
 
     columns = [*[F.col(f"`{f.name}`") for f in kept], F.col(source).alias("_source"), "_template"]
-    return joined.select(*columns).mapInArrow(work, T.StructType([*kept, T.StructField(text, T.StringType())]))
+    return map_arrow(joined.select(*columns), work, T.StructType([*kept, T.StructField(text, T.StringType())]))

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import map_arrow
+
 WIDTH = 64  # blocks, and so bytes, in a row
 FRAME_ROWS = 8128  # rows of blocks in an image; its height has 16 bits
 CHUNK = 1 << 20  # bytes in hand at once
@@ -381,7 +383,7 @@ def store_text(docs: DataFrame, text: str = "text", media: str = "media") -> Dat
                 padded = [x + bytes((-len(x) % WIDTH) or (0 if x else WIDTH)) for x in (x or b"" for x in raw)]
                 yield _with(part, {media: pa.array(encode_bytes(padded), pa.binary())})
 
-    return docs.mapInArrow(write, T.StructType([*docs.schema.fields, T.StructField(media, T.BinaryType())]))
+    return map_arrow(docs, write, T.StructType([*docs.schema.fields, T.StructField(media, T.BinaryType())]))
 
 
 FEATURES = T.StructType(
@@ -450,4 +452,4 @@ def media_features(table: DataFrame, media: str = "media") -> DataFrame:
                 rows = _features(raw)
                 yield _with(part.select([f.name for f in kept]), {n: pa.array([r.get(n) for r in rows], t) for n, t in types.items()})
 
-    return table.mapInArrow(look, T.StructType([*kept, *FEATURES.fields]))
+    return map_arrow(table, look, T.StructType([*kept, *FEATURES.fields]))

@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import map_arrow
+
 SPACE = "▁"
 #: Words whose ids a worker remembers (twice as many at most), and pairs of pieces it has judged.
 MEMO = 200_000
@@ -358,7 +360,7 @@ def encode_texts(docs: DataFrame, model: str, text: str = "text", ids: str = "to
                     yield _append(out, decoded, pa.array([None if h is None else pieces.decode(memoryview(h).cast("i").tolist()) for h in held], pa.string())) if decoded else out
                     first, size, held = i + 1, 0, []
 
-    return docs.mapInArrow(work, T.StructType([*kept, *made]))
+    return map_arrow(docs, work, T.StructType([*kept, *made]))
 
 
 def _lists(rows: list[bytes | None]) -> pa.Array:
@@ -385,4 +387,4 @@ def decode_ids(table: DataFrame, model: str, ids: str = "token_ids", text: str =
             out = [None if x.as_py() is None else pieces.decode(x.values.to_numpy().tolist()) for x in values]
             yield _append(batch.select([f.name for f in kept]), text, pa.array(out, pa.string()))
 
-    return table.mapInArrow(work, T.StructType([*kept, T.StructField(text, T.StringType())]))
+    return map_arrow(table, work, T.StructType([*kept, T.StructField(text, T.StringType())]))

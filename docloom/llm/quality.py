@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_arrow
+
 PASSAGE = 400  # bytes
 SAMPLE = 6000  # documents
 BAG = 64  # passages of a document in training
@@ -192,7 +194,7 @@ def train_model(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
 
     id_type = docs.schema[doc_id].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("label", T.DoubleType()), T.StructField("bag", T.BinaryType())])
-    rows = sorted({(r["id"], r["label"], bytes(r["bag"])) for r in texts.mapInArrow(work, schema).collect()})
+    rows = sorted({(r["id"], r["label"], bytes(r["bag"])) for r in map_arrow(texts, work, schema).collect()})
     model = AttentionModel()
     bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for _, _, b in rows]
     model.train(np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32), np.array([len(b) for b in bags], np.int64), np.array([round(y) for _, y, _ in rows], np.float32))
@@ -211,4 +213,4 @@ def score_documents(docs: DataFrame, model: AttentionModel, text: str = "text")
                 part = rest.slice(first, len(held))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(work, T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return map_arrow(docs, work, T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))

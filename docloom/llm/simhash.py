@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, cut, fresh, spread_join
+from .common import attach, cut, fresh, map_arrow, spread_join
 from .components import connected_components
 
 BITS = 64
@@ -68,7 +68,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGL
             rest = batch.select([f.name for f in kept])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(out, pa.int64())], names=[*rest.schema.names, "fingerprint"])
 
-    return docs.mapInArrow(work, T.StructType([*kept, T.StructField("fingerprint", T.LongType())]))
+    return map_arrow(docs, work, T.StructType([*kept, T.StructField("fingerprint", T.LongType())]))
 
 
 def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -86,7 +86,7 @@ def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
             n += len(values)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(BITS), BITS), pa.int64()), pa.array(np.tile(np.arange(BITS), BITS), pa.int64()), pa.array(both.ravel().astype(np.int64), pa.int64()), pa.array(np.full(BITS * BITS, n), pa.int64())], names=["i", "j", "both", "n"])
 
-    rows = prints.select("fingerprint").mapInArrow(work, "i long, j long, both long, n long").groupBy("i", "j").agg(F.sum("both").alias("both"), F.sum("n").alias("n")).collect()
+    rows = map_arrow(prints.select("fingerprint"), work, "i long, j long, both long, n long").groupBy("i", "j").agg(F.sum("both").alias("both"), F.sum("n").alias("n")).collect()
     counts = np.zeros((BITS, BITS))
     for r in rows:
         counts[r["i"], r["j"]] = r["both"]
@@ -296,7 +296,7 @@ def with_word_prints(docs: DataFrame, text: str = "text", shingle: int = SIMILAR
             rest = batch.select([f.name for f in kept])
             yield pa.RecordBatch.from_arrays([*rest.columns, *(pa.array(rows[:, i]) for i in range(len(made))), pa.array(wides, pa.list_(pa.int64()))], names=[*rest.schema.names, *made, "wide"])
 
-    return docs.mapInArrow(work, T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in made), T.StructField("wide", T.ArrayType(T.LongType()))]))
+    return map_arrow(docs, work, T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in made), T.StructField("wide", T.ArrayType(T.LongType()))]))
 
 
 def with_sequence(docs: DataFrame, text: str = "text", name: str = "_sequence") -> DataFrame:
@@ -342,7 +342,7 @@ def similar_enough(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY
                     ids, sets, size = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["sequence", "members"])
 
-    sets = known.mapInArrow(hashed, "sequence long, members array<long>").groupBy("sequence").agg(F.first("members").alias("members"))
+    sets = map_arrow(known, hashed, "sequence long, members array<long>").groupBy("sequence").agg(F.first("members").alias("members"))
     left = sets.select(F.col("sequence").alias("_sa"), F.col("members").alias("ma"))
     right = sets.select(F.col("sequence").alias("_sb"), F.col("members").alias("mb"))
     both = pairs.join(left, F.col("a") == F.col("_sa")).join(right, F.col("b") == F.col("_sb"))
@@ -361,7 +361,7 @@ def common_shingles(texts: DataFrame, shingle: int = SIMILAR_SHINGLE) -> tuple[n
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["shingle", "n"])
 
     sample = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select("text")
-    rows = sample.mapInArrow(work, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n >= 3").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    rows = map_arrow(sample, work, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n >= 3").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
     found = rows.column("shingle").to_numpy()
     order = np.argsort(found)
     return found[order], len(found) - order  # the most frequent one comes last
@@ -395,7 +395,7 @@ def prefix_rows(texts: DataFrame, least: float = SIMILARITY, shingle: int = SIMI
                 columns = [pa.array(first), pa.array(np.full(len(first), sequence)), pa.array(np.full(len(first), n, np.int32)), pa.array(np.arange(len(first), dtype=np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=["shingle", "sequence", "n", "place"])
 
-    return texts.select("text").mapInArrow(work, "shingle long, sequence long, n int, place int")
+    return map_arrow(texts.select("text"), work, "shingle long, sequence long, n int, place int")
 
 
 def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limit: int = LIMIT, least: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
