@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 #: Most rows and bytes a side may have to be broadcast; both are measured.
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 << 20
-#: Parts that a key's rows are dealt over in ``spread_join``.
-SALTS = 16
+#: Rows of one key that ``spread_join`` leaves to one task.
+HOT_ROWS = 1000
 
 #: Most bytes of a batch that goes to a Python worker (one row at least).
 BATCH_BYTES = 4 << 20
@@ -66,14 +66,18 @@ def attach(left: DataFrame, right: DataFrame, on: Column, how: str = "left", max
     return left.join(F.broadcast(right) if small else right, on, how)
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, other: str, salts: int = SALTS) -> DataFrame:
-    """Inner join of ``left`` with the few-columned ``right``, one row a key, on key = other.
+def spread_join(left: DataFrame, right: DataFrame, key: str, other: str, rows: str) -> DataFrame:
+    """Inner join of ``left`` with ``right``, one row a key, on key = other; ``rows`` of ``right`` counts those of
+    a key in ``left``.
 
-    Each row of ``right`` is copied for every salt, so the rows of a key that is frequent in ``left`` are
-    dealt over that many tasks.  No column may be called ``_salt`` or ``_salted``."""
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
-    copies = right.withColumn("_salted", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(copies, (F.col(key) == F.col(other)) & (F.col("_salt") == F.col("_salted"))).drop("_salt", "_salted")
+    Keys with over ``HOT_ROWS`` rows, which are few, are joined apart, by broadcast as far as their measured
+    size allows, so no task gathers their rows.  ``left`` is read twice and should be cut already."""
+    hot = cut(right.where(F.col(rows) > HOT_ROWS).drop(rows))
+    if hot.isEmpty():
+        return left.join(right.drop(rows), F.col(key) == F.col(other))
+    keys = hot.select(F.col(other).alias("_hot"))
+    rest = attach(left, keys, F.col(key) == F.col("_hot"), "left_anti").join(right.where(F.col(rows) <= HOT_ROWS).drop(rows), F.col(key) == F.col(other))
+    return attach(left, hot, F.col(key) == F.col(other), "inner").unionByName(rest)
 
 
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:

@@ -183,13 +183,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """(doc_id, fingerprint as long, component_id) of every row; component_id is the smallest
     doc_id that can be reached over links."""
     prints = cut(with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", shingle))
-    nodes = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    nodes = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("_rows")))
     roots = cut(connected_components(near_links(nodes.select("fingerprint"), limit)))
     linked = nodes.join(roots, nodes["fingerprint"] == roots["node"]).select("root", "least")
     least = linked.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("_least"))
     of_root = roots.join(least, roots["root"] == least["_root"]).select("node", "_least")
-    named = nodes.join(of_root, nodes["fingerprint"] == of_root["node"], "left").select(F.col("fingerprint").alias("_print"), F.coalesce("_least", "least").alias("component_id"))
-    return spread_join(prints, named, "fingerprint", "_print").select("doc_id", "fingerprint", "component_id")
+    named = nodes.join(of_root, nodes["fingerprint"] == of_root["node"], "left").select(F.col("fingerprint").alias("_print"), F.coalesce("_least", "least").alias("component_id"), "_rows")
+    return spread_join(prints, named, "fingerprint", "_print", "_rows").select("doc_id", "fingerprint", "component_id")
 
 
 # -- near copies by the similarity of their texts
@@ -408,7 +408,7 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     1. The pigeonhole search finds the word fingerprints within ``limit`` bits of each other; texts of one
        fingerprint, in the order of their sizes, are compared each with the next.
     2. Texts that share a shingle of their prefixes (``prefix_rows``), once in the order of their sizes and once
-       in that of a hash, are compared each with the next.
+       in that of a hash, are compared each with the next.  What is similar so far makes groups.
     3. What similar texts are not in one group by then share a shingle of their prefixes with a third: all
        pairs of different groups that do are candidates.  Of the largest group at a shingle only pairs with
        others are made.
@@ -422,7 +422,7 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     similar = may_be_similar(least)
     rows = cut(with_word_prints(texts, "text", shingle))
     made = ["fingerprint", "n", *MAPS]  # equal for equal sequences
-    nodes = cut(rows.groupBy("sequence").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in made]))
+    nodes = cut(rows.groupBy("sequence").agg(F.min("doc_id").alias("least"), F.count("*").alias("_rows"), *[F.min(c).alias(c) for c in made]))
     wides = cut(rows.where("wide is not null").groupBy("sequence").agg(F.min("n").alias("n"), F.first("wide").alias("wide")))
     ends = nodes.select("sequence", "fingerprint", F.struct("n", *MAPS).alias("about"))
 
@@ -435,19 +435,13 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     chained = ends.withColumns({"_b": F.lag("sequence").over(by_print), "_about": F.lag("about").over(by_print)}).where("_b is not null")
     equal = chained.where(similar(F.col("about"), F.col("_about"))).select(F.col("sequence").alias("a"), F.col("_b").alias("b"))
     heads = cut(nodes.groupBy("fingerprint").agg(F.min(F.struct("sequence", "n", *MAPS)).alias("h")).select("fingerprint", "h.*"))
-    links = cut(verified(equal.unionByName(near_links(heads, limit, "sequence", ("n", *MAPS), similar))))
-    roots = cut(connected_components(links))
+    pairs = equal.unionByName(near_links(heads, limit, "sequence", ("n", *MAPS), similar))
 
     # 2. along shared shingles
     same = Window.partitionBy("shingle")
     several = prefix_rows(texts, least, shingle).withColumn("_least", F.min("sequence").over(same)).withColumn("_most", F.max("sequence").over(same)).where("_least <> _most")
     several = cut(several.select("shingle", "sequence", "n", "place").distinct())
 
-    def members() -> DataFrame:
-        """several with the group, the smallest sequence that can be reached."""
-        of = roots.where("node <> root")
-        return attach(several, of, several["sequence"] == of["node"]).select(*several.columns, F.coalesce("root", "sequence").alias("group"))
-
     def room(na: str, pa_: str, nb: str, pb: str) -> Column:
         """Sizes are near, and from the first shared shingle on enough is left of both sets."""
         near = F.least(na, nb) >= F.greatest(na, nb) * F.lit(least) - 1e-6
@@ -455,28 +449,32 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 
     for order in ("n", F.xxhash64("sequence")):
         by_order = Window.partitionBy("shingle").orderBy(order, "sequence")
-        before = {f"_{c}": F.lag(c).over(by_order) for c in ("sequence", "group", "n", "place")}
-        next_to = members().withColumns(before).where("`group` <> _group").where(room("n", "place", "_n", "_place"))
-        links = cut(links.unionByName(verified(next_to.select(F.col("sequence").alias("a"), F.col("_sequence").alias("b")))))
-        roots = cut(connected_components(links))
+        before = {f"_{c}": F.lag(c).over(by_order) for c in ("sequence", "n", "place")}
+        next_to = several.withColumns(before).where(room("n", "place", "_n", "_place"))
+        pairs = pairs.unionByName(next_to.select(F.col("sequence").alias("a"), F.col("_sequence").alias("b")))
+    links = cut(verified(pairs))
+    roots = cut(connected_components(links))
 
     # 3. the rest
-    placed = cut(members())
-    mixed = placed.groupBy("shingle", "group").agg(F.count("*").alias("size")).groupBy(F.col("shingle").alias("_shingle")).agg(F.max(F.struct("size", "group")).alias("_largest"), F.count("*").alias("_groups"), F.sum("size").alias("_rows")).where("_groups > 1 and _rows > 2")
-    rest = cut(placed.join(mixed, F.col("shingle") == F.col("_shingle")).select("shingle", "sequence", "n", "place", "group", (F.col("group") == F.col("_largest.group")).alias("large")))
-    left = rest.where("not large").select(F.col("shingle").alias("_xa"), F.col("sequence").alias("a"), F.col("n").alias("_na"), F.col("place").alias("_pa"), F.col("group").alias("_ga"))
-    right = rest.select(F.col("shingle").alias("_xb"), F.col("sequence").alias("b"), F.col("n").alias("_nb"), F.col("place").alias("_pb"), F.col("group").alias("_gb"), "large")
+    of = roots.where("node <> root")
+    members = cut(attach(several, of, several["sequence"] == of["node"]).select(*several.columns, F.coalesce("root", "sequence").alias("group")))
+    mixed = members.groupBy("shingle", "group").agg(F.count("*").alias("size")).groupBy(F.col("shingle").alias("_shingle")).agg(F.max(F.struct("size", "group")).alias("_largest"), F.count("*").alias("_groups"), F.sum("size").alias("_total")).where("_groups > 1 and _total > 2")
+    maps = ends.select(F.col("sequence").alias("_of"), "about")
+    rest = members.join(mixed, F.col("shingle") == F.col("_shingle")).join(maps, F.col("sequence") == F.col("_of"))
+    rest = cut(rest.select("shingle", "sequence", "n", "place", "group", "about", (F.col("group") == F.col("_largest.group")).alias("large")))
+    left = rest.where("not large").select(F.col("shingle").alias("_xa"), F.col("sequence").alias("a"), F.col("n").alias("_na"), F.col("place").alias("_pa"), F.col("group").alias("_ga"), F.col("about").alias("_ma"))
+    right = rest.select(F.col("shingle").alias("_xb"), F.col("sequence").alias("b"), F.col("n").alias("_nb"), F.col("place").alias("_pb"), F.col("group").alias("_gb"), F.col("about").alias("_mb"), "large")
     once = F.col("large") | (F.col("a") < F.col("b"))
-    pairs = left.join(right, (F.col("_xa") == F.col("_xb")) & (F.col("_ga") != F.col("_gb")) & once & room("_na", "_pa", "_nb", "_pb"))
+    pairs = left.join(right, (F.col("_xa") == F.col("_xb")) & (F.col("_ga") != F.col("_gb")) & once & room("_na", "_pa", "_nb", "_pb") & similar(F.col("_ma"), F.col("_mb")))
     found = cut(verified(pairs.select("a", "b")))
     if not found.isEmpty():
         roots = cut(connected_components(cut(links.unionByName(found))))
 
-    grouped = nodes.join(roots, nodes["sequence"] == roots["node"], "left").select("sequence", "least", F.coalesce("root", "sequence").alias("group"))
+    grouped = nodes.join(roots, nodes["sequence"] == roots["node"], "left").select("sequence", "least", "_rows", F.coalesce("root", "sequence").alias("group"))
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "sequence")).alias("_first")
     of_group = grouped.groupBy(F.col("group").alias("_group")).agg(first)
-    named = grouped.join(of_group, F.col("group") == F.col("_group")).select(F.col("sequence").alias("_sequence"), F.col("_first.least").alias("component_id"), F.col("_first.sequence").alias("component_sequence"))
-    return spread_join(rows.select("doc_id", "sequence"), named, "sequence", "_sequence").select("doc_id", "sequence", "component_id", "component_sequence")
+    named = grouped.join(of_group, F.col("group") == F.col("_group")).select(F.col("sequence").alias("_sequence"), F.col("_first.least").alias("component_id"), F.col("_first.sequence").alias("component_sequence"), "_rows")
+    return spread_join(rows.select("doc_id", "sequence"), named, "sequence", "_sequence", "_rows").select("doc_id", "sequence", "component_id", "component_sequence")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
