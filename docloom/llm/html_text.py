@@ -5,59 +5,66 @@ token's occurrence vector holds its number in each page of the host.  Vectors ar
 gathered: a commutative sum of hashes over the pages stands for each, built by partial sums,
 so tokens of one host with equal sums, page counts and totals form an equivalence class.
 
-The class of the page's root (once in every page) is the template; a class nests in the class
-of its tokens' parent tag, and is valid if that parent belongs to a class too, which goes up to
-the root.  Text that belongs to the template is what all pages of the host say, and is no
-content; everything else lies in slots.  A host needs ``PAGES`` pages, not all alike, for its
-template to count.
+Classes nest as the elements do: wherever a token occurs its parent tag does, so the class of a
+tag that occurs in enough pages lies in the class of its parent, up to the root's (once in every
+page).  The template of a host are its tags, and of its texts
 
-What a slot is for shows in the elements around it: those of navigation, headers, footers,
-sidebars, forms, notices, adverts, reader comments and code are left out, by element, role or
-words of class and id.  If a page has an ``article`` (or else a ``main``), the slots in it are its
-text, without what all pages of the host say; otherwise it is the text of all other slots.
+* those of the root's class: said once on every page;
+* those of a nested class that repeats within pages and is that of their own element: said each
+  time the element occurs, as the label of a button below each item of a list.
+
+All other texts fill slots of the template and differ from page to page.  A host needs ``PAGES``
+pages, not all alike, for its template to count; a text counts in ``PAGES`` of them or more.
+
+The main text are the slots that rank best on a page: first those in an ``article``, then those in a
+``main``, then all others.  Elements, roles and words of class and id rank those of navigation, headers,
+footers, sidebars, forms, notices, adverts, reader comments and code last, and these are never taken;
+paragraphs, headings, items and cells of an article are ranked so by the words for adverts alone.
+An article whose class names a comment is one; one that is named a teaser or card is no article.
 
 Defined results: null pages count as empty; pages without text give an empty string; a null
 URL is of the host ``""``; unclosed and crossed tags are closed as browsers do; text of any length
-is read whole; white space is any Unicode white space; repeated rows stay; an empty table gives
-an empty result; added columns replace others of their names.
+and elements of any depth are read whole; white space is any Unicode white space; repeated rows stay;
+an empty table gives an empty result; the added column replaces one of its name, and others may have
+any name.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, cut, map_arrow
+from .common import attach, cut, fresh, map_arrow
 from .urls import url_host
 
 PAGES = 3
-DEPTH = 512  # open elements; deeper ones count as part of those around them, as in browsers
-
-
-def _names(text: str) -> frozenset[str]:
-    return frozenset(text.split())
 
 
 # Elements of HTML, and what names parts that are no article.
-VOID = _names("area base br col embed hr img input link meta param source track wbr")
-RAW = _names("script style title textarea noscript iframe xmp noembed noframes")
-BLOCKS = _names("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul")
-CELLS = _names("table td th caption")
-LEFT_OUT = _names("head nav footer aside form button select menu dialog template svg canvas object audio video datalist")
-ROLES = _names("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form")
-WORDS = _names("ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments respond discussion disqus replies related recommended recommendations widget toolbar pagination pager skip")
-HEADERS = _names("header topbar")
-NOT_PARTS = _names("has with no without is not")
+VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
+RAW = frozenset({"script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes"})
+BLOCKS = frozenset({"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"})
+CELLS = frozenset({"table", "td", "th", "caption"})
+LEFT_OUT = frozenset({"head", "nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "template", "svg", "canvas", "object", "audio", "video", "datalist"})
+ROLES = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "form"})
+WORDS = frozenset({"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "banners", "sponsor", "sponsored", "promo", "promotion", "sidebar", "sidebars", "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "masthead", "footer", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "comment", "comments", "respond", "discussion", "disqus", "replies", "related", "recommended", "recommendations", "widget", "toolbar", "pagination", "pager", "skip"})
+ADVERTS = frozenset({"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion"})
+COMMENTS = frozenset({"comment", "comments", "reply", "replies", "respond", "discussion", "disqus"})
+TEASERS = frozenset({"teaser", "teasers", "card", "cards", "related", "recommended", "recommendations"})
+TEXT_LEVEL = frozenset({"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "td", "th", "caption", "figcaption"})
+HEADERS = frozenset({"header", "topbar"})
+NOT_PARTS = frozenset({"has", "with", "no", "without", "is", "not"})
 #: Opening the one closes an open one of the others.
-CLOSES = {"li": _names("li"), "dt": _names("dt dd"), "dd": _names("dt dd"), "tr": _names("tr td th"), "td": _names("td th"), "th": _names("td th"), "tbody": _names("thead tbody tfoot tr td th"), "option": _names("option"), "tfoot": _names("thead tbody tr td th")}
-LIMITS = {"li": _names("ul ol menu table"), "dt": _names("dl table"), "dd": _names("dl table"), "option": _names("select datalist")}
+CLOSES = {"li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "tbody": frozenset({"thead", "tbody", "tfoot", "tr", "td", "th"}), "option": frozenset({"option"}), "tfoot": frozenset({"thead", "tbody", "tr", "td", "th"})}
+LIMITS = {"li": frozenset({"ul", "ol", "menu", "table"}), "dt": frozenset({"dl", "table"}), "dd": frozenset({"dl", "table"}), "option": frozenset({"select", "datalist"})}
 
 TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
@@ -85,6 +92,7 @@ class Page:
         self.tags: list[int] = []
         self.parents: dict[int, int] = {}
         self.has_article = self.has_main = False
+        self._names: Counter[str] = Counter()  # of open elements
         # name, path, left out, in an article, in a main
         self._stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
         self._text: list[str] = []
@@ -141,33 +149,44 @@ class Page:
         path = xxhash.xxh64_intdigest(f"{parent} {name} {named.get('class', '')}") >> 1
         self.tags.append(path)
         self.parents[path] = parent
-        if name in VOID or len(self._stack) > DEPTH:
+        if name in VOID:
             return
-        if not out and name not in ("html", "body", "article", "main"):
-            names = f"{named.get('class', '')} {named.get('id', '')}"
-            out = name in LEFT_OUT or name in RAW or "hidden" in named or named.get("role", "").lower() in ROLES or _is_part(names, WORDS)
+        names = f"{named.get('class', '')} {named.get('id', '')}"
+        if name == "article" and not out:
+            out, teaser = _is_part(names, COMMENTS), _is_part(names, TEASERS)
+            if not out and not teaser:
+                self.has_article = article = True
+        elif not out and name not in ("html", "body", "main"):
+            words = ADVERTS if article and name in TEXT_LEVEL else WORDS
+            out = name in LEFT_OUT or name in RAW or "hidden" in named or named.get("role", "").lower() in ROLES or _is_part(names, words)
             if not article and not main:
                 out = out or name == "header" or _is_part(names, HEADERS)
-        if not out:
-            if name == "article":
-                self.has_article = article = True
-            elif name == "main":
-                self.has_main = main = True
+        if name == "main" and not out:
+            self.has_main = main = True
         self._stack.append((name, path, out, article, main))
+        self._names[name] += 1
+
+    def _leave(self, k: int) -> None:
+        """Close the k-th open element and those in it."""
+        for name, *_ in self._stack[k:]:
+            self._names[name] -= 1
+        del self._stack[k:]
 
     def _close_implied(self, name: str) -> None:
-        names = [x[0] for x in self._stack]
-        for k in range(len(names) - 1, 0, -1):  # an open paragraph ends where a block begins
-            if names[k] == "p":
-                del self._stack[k:]
-                break
-            if names[k] in BLOCKS:
-                break
+        if self._names["p"]:
+            for k in range(len(self._stack) - 1, 0, -1):  # an open paragraph ends where a block begins
+                if self._stack[k][0] == "p":
+                    self._leave(k)
+                    break
+                if self._stack[k][0] in BLOCKS:
+                    break
+        if name not in CLOSES or not any(self._names[n] for n in CLOSES[name]):
+            return
         for k in range(len(self._stack) - 1, 0, -1):
-            if name not in CLOSES or self._stack[k][0] in LIMITS.get(name, CELLS - CLOSES[name]):
+            if self._stack[k][0] in LIMITS.get(name, CELLS - CLOSES[name]):
                 break
             if self._stack[k][0] in CLOSES[name]:
-                del self._stack[k:]
+                self._leave(k)
                 if name not in ("tr", "tbody", "tfoot"):
                     break
                 return self._close_implied(name)
@@ -175,21 +194,19 @@ class Page:
     def _close(self, name: str) -> None:
         if name in BLOCKS:
             self._flush()
+        if not self._names[name]:
+            return
         for k in range(len(self._stack) - 1, 0, -1):
             if self._stack[k][0] == name:
-                del self._stack[k:]
-                return
+                return self._leave(k)
             if self._stack[k][0] in CELLS and name not in CELLS and name not in ("tr", "tbody", "thead", "tfoot", "body", "html"):
                 return
 
     def main_text(self, template: frozenset[int] = frozenset()) -> str:
-        """The text of the slots in the article; else of those in the main; else of all."""
-        slots = [b for b in self.blocks if block_token(b[0], b[1]) not in template]
-        if self.has_article:
-            slots = [b for b in slots if b[2]]
-        elif self.has_main:
-            slots = [b for b in slots if b[3]]
-        return "\n".join(b[1] for b in slots)
+        """The texts of the slots that rank best."""
+        slots = [(2 if article else 1 if main else 0, text) for path, text, article, main in self.blocks if block_token(path, text) not in template]
+        best = 2 if self.has_article else 1 if self.has_main else 0
+        return "\n".join(text for rank, text in slots if rank >= best)
 
 
 def block_token(path: int, text: str) -> int:
@@ -234,39 +251,43 @@ def token_vectors(pages: DataFrame) -> DataFrame:
     return parts.groupBy("host", "token").agg(F.min("parent").alias("parent"), F.max("is_text").alias("is_text"), F.sum("pages").alias("pages"), F.sum("total").alias("total"), sums, F.min("least").alias("least"), F.max("most").alias("most"))
 
 
-def equivalence_classes(vectors: DataFrame) -> DataFrame:
-    """vectors with ``class`` (equal for equal occurrence vectors of a host), ``nested_in`` (the
-    class of the parent tag; null at the root) and ``valid``: the parent's class is known."""
-    label = F.xxhash64("host", "pages", "total", "vector")
-    classed = vectors.withColumn("class", label)
-    parents = classed.where("not is_text").select(F.col("host").alias("_host"), F.col("token").alias("_token"), F.col("class").alias("nested_in"))
-    joined = classed.join(parents, (F.col("host") == F.col("_host")) & (F.col("parent") == F.col("_token")) & (F.col("token") != 0), "left")
-    return joined.withColumn("valid", F.col("nested_in").isNotNull() | (F.col("token") == 0)).drop("_host", "_token")
+def templates(vectors: DataFrame, pages: int = PAGES) -> DataFrame:
+    """host and ``template``, the text tokens of its template, for hosts with enough pages.
 
+    ``vectors`` may lack tokens of fewer pages, but not the roots."""
 
-def templates(vectors: DataFrame, pages: int = PAGES) -> DataFrame:
-    """host and ``template``, the text tokens of the root's class, for hosts with enough pages."""
-    root = vectors.where("token = 0 and least <> most").where(F.col("pages") >= pages).select(F.col("host").alias("_host"), F.col("pages").alias("_pages"), F.col("vector").alias("_vector"))
-    classes = equivalence_classes(vectors).where("is_text and valid")
-    same = (F.col("host") == F.col("_host")) & (F.col("pages") == F.col("_pages")) & (F.col("total") == F.col("_pages")) & (F.col("vector") == F.col("_vector"))
-    return classes.join(root, same).groupBy("host").agg(F.collect_list("token").alias("template"))
+    def side(rows: DataFrame, mark: str) -> DataFrame:
+        of = [F.col(c).alias(f"{mark}_{c}") for c in ("pages", "total", "vector")]
+        return rows.select(F.col("host").alias(f"{mark}_host"), F.col("token").alias(f"{mark}_token"), *of)
+
+    def same(mark: str) -> Column:
+        return (F.col("pages") == F.col(f"{mark}_pages")) & (F.col("total") == F.col(f"{mark}_total")) & (F.col("vector") == F.col(f"{mark}_vector"))
+
+    root = side(vectors.where("token = 0 and least <> most").where(F.col("pages") >= pages), "root")
+    tags = side(vectors.where("not is_text"), "tag")
+    texts = vectors.where("is_text").where(F.col("pages") >= pages).join(root, F.col("host") == F.col("root_host"))
+    nested = texts.join(tags, (F.col("host") == F.col("tag_host")) & (F.col("parent") == F.col("tag_token")))
+    return nested.where(same("root") | (same("tag") & (F.col("total") > F.col("pages")))).groupBy("host").agg(F.collect_list("token").alias("template"))
 
 
 def extract_text(pages: DataFrame, url: str = "url", source: str = "html", text: str = "text") -> DataFrame:
-    """``pages`` without the source, with the main text."""
-    hosted = pages.withColumn("_host", F.coalesce(url_host(pages[url]), F.lit("")))
-    vectors = token_vectors(hosted.select(F.col("_host").alias("host"), F.col(source).alias("html")))
-    found = cut(templates(vectors).select(F.col("host").alias("_of"), F.col("template").alias("_template")))
-    joined = attach(hosted, found, F.col("_host") == F.col("_of"))
+    """``pages`` without the source, with the main text.
+
+    The templates of hosts are as large as what their pages share, so a page at most."""
     kept = [f for f in pages.schema.fields if f.name not in (source, text)]
+    host, of, template, raw = fresh(pages.columns, "_host", "_of", "_template", "_source")
+    hosted = pages.withColumn(host, F.coalesce(url_host(pages[url]), F.lit("")))
+    vectors = token_vectors(hosted.select(F.col(host).alias("host"), F.col(source).alias("html")))
+    found = cut(templates(cut(vectors.where(f"token = 0 or pages >= {PAGES}"))).select(F.col("host").alias(of), F.col("template").alias(template)))
+    joined = attach(hosted, found, F.col(host) == F.col(of))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = batch.select([f.name for f in kept])
+            rest = batch.select(list(range(len(kept))))
             out = []
-            for s, t in zip(batch.column("_source"), batch.column("_template"), strict=True):
+            for s, t in zip(batch.column(raw), batch.column(template), strict=True):
                 out.append(Page(s.as_py() or "").main_text(frozenset(t.as_py() or ())))
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(out, pa.string())], names=[*rest.schema.names, text])
 
-    columns = [*[F.col(f"`{f.name}`") for f in kept], F.col(source).alias("_source"), "_template"]
+    columns = [*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{source}`").alias(raw), F.col(template)]
     return map_arrow(joined.select(*columns), work, T.StructType([*kept, T.StructField(text, T.StringType())]))

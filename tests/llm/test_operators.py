@@ -463,6 +463,62 @@ def test_templates_hold_within_articles_and_mains(spark):
     assert {r.page_id: r.text for r in html_text.extract_text(pages).collect()} == {k: words(4, k % 3) for k in range(6)}
 
 
+def test_articles_of_comments_and_teasers_and_notices_within(spark):
+    page = """<main><article class="teaser"><p>other story</p></article><article><h1>T</h1><p class="notice">main point</p><div class="notice">we use cookies</div><p class="ad">buy</p>
+    <p>end</p></article><article class="comment"><p>reader says</p></article><article id="comment-7"><p>reader too</p></article></main>"""
+    assert html_text.Page(page).main_text() == "T\nmain point\nend"
+    assert html_text.Page("<article class='card'><p>only</p></article><article class='comment'>no</article>").main_text() == "only"
+
+
+def test_the_same_text_without_article_elements(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    renamed = pages.withColumn("html", F.regexp_replace("html", "(</?)article", "$1div"))
+    want = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    assert {r.page_id: r.text for r in html_text.extract_text(renamed).collect()} == want and all(want.values())
+
+
+def test_templates_equal_gathered_vectors(spark):
+    """Brute force: every token's whole vector of a host, compared with that of the root and of its element."""
+    rng, rows = random.Random(3), []
+    for host in range(14):
+        for k in range(rng.choice([1, 2, 3, 5, 8])):
+            items = "".join(f"<li>{words(2, rng.random())}<p>{'Reply' if host % 2 else words(1, rng.random())}</p></li>" for _ in range(rng.randint(0, 4)))
+            same = "<p>Part of all</p>" if host != 3 or k else ""
+            rows.append((len(rows), f"http://h{host}.org/{k}", f"<body><div>Site {host}</div>{same}<section>{words(5, rng.random())}</section><ul>{items}</ul><i>{rng.choice('ab')}</i></body>"))
+    rows += [(len(rows), "http://copy.org/1", "<p>all alike</p>")] * 4
+    want = {}
+    for host in {r[1].split("/")[2] for r in rows}:
+        sources = [r[2] for r in rows if r[1].split("/")[2] == host]
+        parsed = [html_text.Page(x) for x in sources]
+        tags = [{p: x.tags.count(p) for p in x.tags} for x in parsed]
+        texts = [{} for _ in parsed]
+        for x, t in zip(parsed, texts, strict=True):
+            for path, text, *_ in x.blocks:
+                t[path, text] = t.get((path, text), 0) + 1
+        template = set()
+        for key in {k for t in texts for k in t}:
+            vector, parent = [t.get(key, 0) for t in texts], [t.get(key[0], 0) for t in tags]
+            if len(sources) >= 3 and len(set(sources)) > 1 and sum(n > 0 for n in vector) >= 3 and (vector == [1] * len(sources) or (vector == parent and sum(vector) > sum(n > 0 for n in vector))):
+                template.add(key)
+        want[host] = template
+    assert sum(len(t) for t in want.values()) > 8 and any(text == "Reply" for t in want.values() for _, text in t)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    vectors = html_text.token_vectors(df.select(F.regexp_extract("url", "//([^/]*)", 1).alias("host"), "html"))
+    got = {r.host: set(r.template) for r in html_text.templates(vectors).collect()}
+    assert got == {h: {html_text.block_token(*k) for k in t} for h, t in want.items() if t}
+    for r in html_text.extract_text(df).collect():
+        lines, page = (r.text or "").split("\n"), html_text.Page(rows[r.page_id][2])
+        assert lines == [t for p, t, *_ in page.blocks if (p, t) not in want[r.url.split("/")[2]]] or r.text == ""
+
+
+def test_pages_with_any_columns_repeats_and_long_texts(spark):
+    long = "<article><p>" + "word " * 200_000 + "</p></article>"
+    rows = [(1, "http://a.b/", long, "h", 1, 2, "s")] * 2 + [(2, None, "<p>x", "h", 1, 2, "s")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _host string, _of int, _template int, _source string")
+    got = html_text.extract_text(df).collect()
+    assert sorted(len(r.text) for r in got) == [1, 999_999, 999_999] and {(r._host, r._of, r._template, r._source) for r in got} == {("h", 1, 2, "s")}
+
+
 def test_deep_and_broken_pages():
     assert html_text.Page("<div><b>" * 20_000 + "x").main_text() == "x"
     assert html_text.Page("<p>a <b <i>c</p> d &lt; &#x41; &bogus; <!-- open").main_text().startswith("a")
