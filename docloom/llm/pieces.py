@@ -1,35 +1,43 @@
 """SentencePiece encoding and decoding with a streaming Viterbi search.
 
-Boundaries of a text are reached from left to right by pieces; each boundary keeps a
-pointer back to the one before it.  Only the boundaries of the last ``longest piece``
-characters can still be extended.  Whenever the paths back from all of these meet in one
-boundary, everything up to it is decided: its ids are given out and the pointers before it
-forgotten, so the memory for a text does not depend on its length.
+Boundaries of a text are reached from left to right by pieces; each boundary keeps the piece
+that ends there, which points back to the one before it.  Only the boundaries of the last
+``longest piece`` characters can still be extended.  Whenever the paths back from all of these
+meet in one boundary, everything up to it is decided: its ids are given out and what was kept of it
+is forgotten, so the window does not grow with the text.
+
+Some boundaries are on every path whatever the text, so the search commits there without
+walking back: no piece holds a space behind another character, so all paths meet before a space
+that follows one; and a line feed, if no piece holds it, is given out as its byte.  The ids of
+a stretch between two such boundaries depend on nothing else.  All stretches go through
+``_stream``; those it has searched before are remembered, in bounded numbers.
 
 What makes a path survive depends on the model:
 
 * unigram: the largest sum of scores (ties: the longer last piece);
 * BPE: a piece may follow another if merging their joint text gives just these two; for each
   boundary exactly one path does so at every step, and it is the one that merging the whole
-  text would give.  The ids are those of the library.
+  text would give.
 
-Scores of the runs of white space in BPE models are all equal and lowest, which merges them
-last and from the left; they are handled so.
+The ids of BPE models are those of the library.  Scores of the runs of white space in BPE models are all equal
+and lowest, which merges them last and from the left; they are handled so.
 
 Two differences from the library, both for exact decoding: U+2581 in a text is encoded as
 its bytes, as it would otherwise come back as a space; nothing is normalised, and models
 that ask for a normalisation are refused.
 
 Defined results: a null text has null ids and decodes to null; an empty text has no ids;
-equal texts have equal ids; an empty table gives an empty result.
+equal texts have equal ids and repeated rows stay; texts of any length are encoded whole; the
+added columns replace others of their names, all other columns stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +46,7 @@ from pyspark.sql import types as T
 from .common import map_arrow
 
 SPACE = "▁"
+STRETCH = re.compile("( +)([^ ]*)")
 #: Words whose ids a worker remembers (twice as many at most), and pairs of pieces it has judged.
 MEMO = 200_000
 PAIRS = 400_000
@@ -67,10 +76,11 @@ class Pieces:
             raise ValueError("only models whose pieces hold no inner space")
         #: Runs of spaces are merged apart from everything else.
         self.runs = {len(n) for n in self.id if len(n) > 1 and not n.strip(SPACE)}
-        for n in self.runs:
+        for n in self.runs if self.bpe else ():
             del self.score[SPACE * n]
+        self.unknown = min(self.score.values()) - 10.0  # of a character that is no piece, as the library has it
         self.longest = max(map(len, self.score))
-        self.endings = {n[k:] for n in self.score for k in range(len(n))}
+        self.endings = set() if self.bpe else {n[k:] for n in self.score for k in range(len(n))}
         self.barrier = "\n" if not any("\n" in n for n in self.id) else None
         self.space = struct.pack("<i", self.id[SPACE])
         self._barrier = struct.pack("<i", self.bytes[ord(self.barrier)]) if self.barrier else b""
@@ -80,7 +90,8 @@ class Pieces:
         self._old: dict[str, bytes] = {}  # what was remembered before they were last full
         self._follow: dict[str, dict[str, bool]] = {}  # piece -> piece -> whether the one may come next
         self._pairs = 0
-        self._short_most = 4 * self.longest - 1
+        #: Characters that went through the search, and the most it kept at a time.
+        self.searched = self.widest = 0
         self._first = dict.fromkeys(self.score, True)
         self._packed = {n: struct.pack("<i", i) for n, i in self.id.items()}
         self._raw = [self._piece_bytes(i) for i in ids]
@@ -117,32 +128,6 @@ class Pieces:
                 self._pairs += 1
         return ok
 
-    def _short(self, text: str) -> bytes:
-        """The same for BPE and a stretch so short that nothing could be given out before its end."""
-        follow = self._follow
-        pieces, after = [""], [self._first]
-        for end in range(1, len(text) + 1):
-            start = end - 1
-            piece = text[start]
-            while True:
-                ok = after[start].get(piece)
-                if ok or (ok is None and self._judge(pieces[start], piece)):
-                    break
-                start -= 1  # merging reaches every boundary, so some piece fits
-                piece = text[start:end]
-            pieces.append(piece)
-            known = follow.get(piece)
-            if known is None:
-                known = follow[piece] = {}
-            after.append(known)
-        out, end, packed = [], len(text), self._packed
-        while end:
-            piece = pieces[end]
-            out.append(packed.get(piece) or self._spelled(piece))
-            end -= len(piece)
-        out.reverse()
-        return b"".join(out)
-
     def _judge(self, before: str, piece: str) -> bool:
         """Whether the piece, or single character, may come after the one before; remembered."""
         if piece not in self.score and len(piece) > 1:
@@ -163,61 +148,68 @@ class Pieces:
         """The bytes of a character that is no piece."""
         return b"".join([struct.pack("<i", self.bytes[b]) for b in piece.encode()])
 
-    def _stream(self, text: str, give: Callable[[str], None]) -> None:
-        """Give out the pieces of a stretch; single characters that are no piece too."""
-        known, endings, longest, may = self.score, self.endings, self.longest, self._may_follow
-        back: dict[int, tuple[int, str, float]] = {0: (-1, "", 0.0)}
-        done, check, n = 0, 4 * longest, len(text)
-        for end in range(1, n + 1):
-            best: tuple[int, str, float] | None = None
-            for start in range(end - 1, max(end - longest, done) - 1, -1):
-                piece = text[start:end]
-                if piece not in endings and end - start > 1:
-                    break  # no piece ends like this, so none that is longer either
-                if (piece in known or end - start == 1) and start in back:
-                    _, before, so_far = back[start]
-                    if self.bpe:
-                        if before and not may(before, piece):
-                            continue
-                        best = (start, piece, 0.0)
+    def _stream(self, text: str) -> bytes:
+        """Ids of a stretch.  Of the boundaries from ``done`` on, ``pieces`` has the piece that ends there,
+        and ``after`` what is known to be able to follow it (BPE) or the sum of scores up to it."""
+        bpe, packed, longest, known, endings = self.bpe, self._packed, self.longest, self.score, self.endings
+        pieces: list[str] = [""]
+        after: list = [self._first if bpe else 0.0]
+        done, check, out = 0, 4 * longest, []
+        self.searched += len(text)
+        for end in range(1, len(text) + 1):
+            at = end - 1 - done
+            piece = text[end - 1]
+            if bpe:
+                while True:
+                    ok = after[at].get(piece)
+                    if ok or (ok is None and self._judge(pieces[at], piece)):
                         break
-                    score = so_far + known.get(piece, -1e6)
-                    if best is None or score >= best[2]:
-                        best = (start, piece, score)
-            if best is not None:
-                back[end] = best
-            if end - done >= check and end < n:
-                alive = {b for b in range(end - longest + 1, end + 1) if b in back}
-                while len(alive) > 1:
-                    last = max(alive)
-                    alive.discard(last)
-                    alive.add(back[last][0] if last > done else done)
-                meet = alive.pop()
-                if meet > done:
-                    self._commit(back, done, meet, give)
-                    for b in [b for b in back if b < meet]:
-                        del back[b]
-                    back[meet] = (-1, back[meet][1], back[meet][2])
-                    done = meet
+                    at -= 1  # merging reaches every boundary, so some piece fits
+                    piece = text[done + at : end]
+                pieces.append(piece)
+                follow = self._follow.get(piece)
+                if follow is None:
+                    follow = self._follow[piece] = {}
+                after.append(follow)
+            else:
+                best, score = piece, after[at] + known.get(piece, self.unknown)
+                while at and piece in endings and len(piece) < longest:
+                    at -= 1
+                    piece = text[done + at : end]
+                    if piece in known and after[at] + known[piece] >= score:
+                        best, score = piece, after[at] + known[piece]
+                pieces.append(best)
+                after.append(score)
+            if end - done >= check:
+                meet = self._meet(pieces)
+                if meet:
+                    self.widest = max(self.widest, end - done)
+                    self._give(pieces, meet, out)
+                    pieces, after, done = pieces[meet:], after[meet:], done + meet
                     check = 4 * longest
                 else:
                     check = 2 * (end - done)
-        self._commit(back, done, n, give)
+        self.widest = max(self.widest, len(pieces) - 1)
+        self._give(pieces, len(pieces) - 1, out)
+        return b"".join(out)
 
-    def _commit(self, back: dict[int, tuple[int, str, float]], start: int, end: int, give: Callable[[str], None]) -> None:
+    def _meet(self, pieces: list[str]) -> int:
+        """The last boundary that is on the paths to all of the last ``longest`` boundaries."""
+        alive = set(range(max(0, len(pieces) - self.longest), len(pieces)))
+        while len(alive) > 1:
+            last = max(alive)
+            alive.discard(last)
+            alive.add(last - len(pieces[last]))
+        return alive.pop()
+
+    def _give(self, pieces: list[str], end: int, out: list[bytes]) -> None:
+        """Add the ids of the path to a boundary."""
         path = []
-        while end > start:
-            end, piece, _ = back[end]
-            path.append(piece)
-        for piece in reversed(path):
-            give(piece)
-
-    def _stretch(self, text: str) -> bytes:
-        if self.bpe and len(text) <= self._short_most:
-            return self._short(text)
-        out: list[bytes] = []
-        self._stream(text, lambda piece: out.append(self._packed.get(piece) or self._spelled(piece)))
-        return b"".join(out)
+        while end:
+            piece = pieces[end]
+            path.append(self._packed.get(piece) or self._spelled(piece))
+            end -= len(piece)
+        out.extend(reversed(path))
 
     def _word(self, word: str) -> bytes:
         """Ids of a space and the word behind it."""
@@ -229,8 +221,7 @@ class Pieces:
                 for line in lines:
                     out += (self._barrier, self._begin(line))
                 return b"".join(out)
-            short = len(word) < self._short_most and self.bpe and SPACE not in word
-            ids = self._short(SPACE + word) if short else self._line(word, SPACE)
+            ids = self._line(word, SPACE)
         if len(word) <= 64:
             if len(self._words) + len(self._bare) >= MEMO:
                 self._old, self._words, self._bare = self._words | self._bare, {}, {}
@@ -250,8 +241,22 @@ class Pieces:
 
     def _line(self, text: str, before: str) -> bytes:
         """Ids of a stretch; each U+2581 of the text itself is three bytes."""
+        if SPACE not in text:
+            return self._stream(before + text)
         first, *rest = text.split(SPACE)
-        return self._spelled(SPACE).join([self._stretch(before + first), *map(self._stretch, rest)])
+        return self._spelled(SPACE).join([self._stream(before + first), *map(self._stream, rest)])
+
+    def _unigram_stretch(self, found: re.Match) -> bytes:
+        """Ids of some spaces and what follows up to the next."""
+        text = found[0]
+        ids = self._words.get(text) or self._old.get(text)
+        if ids is None:
+            ids = self._line(found[2], SPACE * len(found[1]))
+            if len(text) <= 64:
+                if len(self._words) >= MEMO:
+                    self._old, self._words = self._words, {}
+                self._words[text] = ids
+        return ids
 
     @functools.lru_cache(256)  # noqa: B019 (models live as long as their worker)
     def _run(self, n: int) -> bytes:
@@ -266,6 +271,8 @@ class Pieces:
         """Ids of a text as little-endian 32-bit numbers."""
         if not text:
             return b""
+        if not self.bpe:
+            return b"".join([self._unigram_stretch(m) for m in STRETCH.finditer(" " + text)])
         out: list[bytes] = []
         run, space, bare = 0, self.space, self._bare
         for word in text.split(" "):

@@ -294,9 +294,70 @@ def test_stream_equals_whole_search(model):
     rng = random.Random(6)
     for _ in range(40):
         text = "".join(rng.choice("aabcdeéthing字😀") for _ in range(rng.randint(64, 400)))
-        out = []
-        model._stream(text, out.append)
-        assert out == model._merge(text)
+        want = b"".join(model._packed.get(p) or model._spelled(p) for p in model._merge(text))
+        assert model._stream(text) == want
+
+
+def test_the_window_does_not_grow_with_the_text(model):
+    text = "".join(random.Random(8).choices("aabcdeéthing字", k=10_000_000))
+    model.searched = model.widest = 0
+    ids = model.encode(text)
+    assert model.searched == len(text) + 1 and model.widest <= 16 * model.longest
+    assert model.decode(memoryview(ids).cast("i").tolist()) == text
+
+
+def test_every_document_goes_through_the_search(spark, model):
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(20).collect():
+        fresh = Pieces(piece_model())
+        fresh.encode(r.text)
+        stretches = {w for w in r.text.split(" ") if w}
+        assert fresh.searched >= sum(len(w) for w in stretches if "\n" not in w)
+
+
+def as_unigram(proto):
+    """The bytes of a model file with the kind of its training settings set to unigram."""
+    at = 0
+    while at < len(proto):
+        key, at = proto[at], at + 1
+        size = shift = 0
+        while True:
+            byte, at = proto[at], at + 1
+            size |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                break
+        if key == 0x12:
+            spec = proto[at : at + size]
+            assert spec.count(b"\x18\x02") == 1
+            return proto[:at] + spec.replace(b"\x18\x02", b"\x18\x01") + proto[at + size :]
+        at += size
+    raise AssertionError("no settings")
+
+
+def test_unigram_ids_have_the_largest_sum_of_scores(spark, model, tmp_path):
+    import sentencepiece
+
+    path = str(tmp_path / "unigram.model")
+    with open(piece_model(), "rb") as f, open(path, "wb") as g:
+        g.write(as_unigram(f.read()))
+    lib, mine, rng = sentencepiece.SentencePieceProcessor(model_file=path), Pieces(path), random.Random(5)
+    assert not mine.bpe
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    texts += ["".join(rng.choice("aabcdeéthing字😀 \n") for _ in range(rng.randint(1, 300))) for _ in range(100)]
+    total = same = 0
+    for t in texts:
+        assert mine.decode(np.frombuffer(mine.encode(t), "<i4").tolist()) == t
+        for word in t.replace("\n", " ").split():
+            ids, theirs = np.frombuffer(mine.encode(word), "<i4").tolist(), lib.encode(word)
+            total, same = total + 1, same + (ids == theirs)
+            assert ids == theirs or sum(map(lib.get_score, ids)) > sum(map(lib.get_score, theirs)), word
+    assert total > 10_000 and same >= 0.9 * total
+    for _ in range(300):  # all ways to cut a short word
+        word = "".join(rng.choice("thinger") for _ in range(rng.randint(1, 9)))
+        best = {0: 0.0}
+        for end in range(1, len(word) + 2):
+            best[end] = max(best[k] + mine.score[("▁" + word)[k:end]] for k in range(end) if ("▁" + word)[k:end] in mine.score)
+        assert sum(map(lib.get_score, np.frombuffer(mine.encode(word), "<i4").tolist())) == best[len(word) + 1]
 
 
 def test_any_text_comes_back(model):
