@@ -6,16 +6,16 @@ layer encodes it.
 Gated attention, learned from the labels of the bags, gives each passage a weight (the weights
 of a document sum to 1), and the weighted sum of the encodings gives the score.
 
-The model is trained on ``SAMPLE`` labelled documents, the smallest by a hash of their id, and
-of each of these at most ``BAG`` passages, evenly spaced; scoring reads every passage of every
-text.  Ids, labels, language and source are no inputs.  Training runs on the driver with fixed
+The model is trained on all passages of ``SAMPLE`` labelled documents, the smallest by a hash of their
+id; scoring reads every passage of every text.  Ids, labels, language and source are no inputs.  Training runs on the driver with fixed
 seeds, so equal tables give equal scores.
 
 Defined results: a null or empty text is a bag of one empty passage; labels that are null or
 without a document are ignored, the mean of several labels of one document is rounded; labels of
 one kind only, or none, give every document the share of label 1 (0.5 without any); repeated
-rows are scored alike; an empty table gives an empty result; added columns replace others of
-their names.
+rows are scored alike, and trained on once; texts of any length are read whole; an empty table gives an
+empty result; the two added columns, whose names are parameters, replace others of their names, all other
+columns stay.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ from .common import map_arrow
 
 PASSAGE = 400  # bytes
 SAMPLE = 6000  # documents
-BAG = 64  # passages of a document in training
 HIDDEN, GATE = 32, 16
 EPOCHS, BATCH, RATE, DECAY = 40, 256, 0.01, 1e-4
 CHUNK = 1 << 19  # bytes in hand at once
@@ -47,7 +46,7 @@ FEATURES = CLASSES * CLASSES + 3
 _MIX = np.random.default_rng(1).integers(0, 1 << 62, 256)
 
 
-def bag_features(texts: list[bytes], most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def bag_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages (float32), and the number of passages of each text."""
     sizes = np.array([len(t) for t in texts])
     counts = np.maximum(1, -(-sizes // PASSAGE))
@@ -66,9 +65,6 @@ def bag_features(texts: list[bytes], most: int | None = None) -> tuple[np.ndarra
     length = pairs.sum(1, keepdims=True)
     same = _repeats(texts, starts, sizes, passage, int(counts.sum()))
     out = np.hstack((np.sqrt(pairs / np.maximum(length, 1)), length / PASSAGE, np.log1p(np.repeat(sizes, counts))[:, None] / 10, same[:, None])).astype(np.float32)
-    if most is not None and (counts > most).any():
-        take = np.concatenate([f + (np.arange(min(c, most)) * c) // min(c, most) for f, c in zip(first, counts, strict=True)])
-        out, counts = out[take], np.minimum(counts, most)
     return out, counts
 
 
@@ -187,23 +183,23 @@ def train_model(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, held in _pieces(batch.column(2)):
-                x, counts = bag_features(held, BAG)
+                x, counts = bag_features(held)
                 ends = np.cumsum(counts)
                 rows = [x[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.select([0, 1]).slice(first, len(held)).columns, pa.array(rows, pa.binary())], names=["id", "label", "bag"])
 
     id_type = docs.schema[doc_id].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("label", T.DoubleType()), T.StructField("bag", T.BinaryType())])
-    rows = sorted({(r["id"], r["label"], bytes(r["bag"])) for r in map_arrow(texts, work, schema).collect()})
+    rows = sorted((r["id"], r["label"], bytes(r["bag"])) for r in map_arrow(texts, work, schema).distinct().collect())
     model = AttentionModel()
     bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for _, _, b in rows]
     model.train(np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32), np.array([len(b) for b in bags], np.int64), np.array([round(y) for _, y, _ in rows], np.float32))
     return model
 
 
-def score_documents(docs: DataFrame, model: AttentionModel, text: str = "text") -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (0 or 1)."""
-    kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
+def score_documents(docs: DataFrame, model: AttentionModel, text: str = "text", score_name: str = "score", predicted: str = "predicted") -> DataFrame:
+    """``docs`` with the score (0 to 1) and what it predicts (0 or 1)."""
+    kept = [f for f in docs.schema.fields if f.name not in (score_name, predicted)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,6 +207,6 @@ def score_documents(docs: DataFrame, model: AttentionModel, text: str = "text")
             for first, held in _pieces(batch.column(batch.schema.get_field_index(text))):
                 score = model.score(*bag_features(held))
                 part = rest.slice(first, len(held))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], names=[*part.schema.names, score_name, predicted])
 
-    return map_arrow(docs, work, T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return map_arrow(docs, work, T.StructType([*kept, T.StructField(score_name, T.DoubleType()), T.StructField(predicted, T.IntegerType())]))

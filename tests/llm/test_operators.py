@@ -2,6 +2,7 @@
 columns with clashing names."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -482,6 +483,43 @@ def test_gradients_equal_differences():
         assert (up - down) / 2e-5 == pytest.approx(g[at], rel=1e-2, abs=1e-6)
 
 
+def test_scores_equal_plain_loops(spark):
+    """Features, attention and score once more, a passage and a byte at a time."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(12).collect()] + ["", "same same word", "é" * 399 + "a b"]
+    model = quality.AttentionModel(seed=8)
+    model.mean, model.scale = np.full(quality.FEATURES, 0.01, np.float32), np.full(quality.FEATURES, 2.0, np.float32)
+    got = model.score(*quality.bag_features([t.encode() for t in texts]))
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    for text, score in zip(texts, got, strict=True):
+        raw = text.encode()
+        begins = [i for i in range(len(raw)) if raw[i] > 32 and (i == 0 or raw[i - 1] <= 32)]
+        words = [bytes(b for b in raw[i : next((j for j in range(i, len(raw)) if raw[j] <= 32), len(raw))]) for i in begins]
+        encoded, weights = [], []
+        for k in range(max(1, -(-len(raw) // 400))):
+            counts, n = np.zeros(100), 0
+            for i in range(400 * k, min(400 * k + 400, len(raw))):
+                counts[(quality._KIND[raw[i - 1]] if i else 4) * 10 + quality._KIND[raw[i]]] += 1
+                n += 1
+            of = [w for w, i in enumerate(begins) if i // 400 == k]
+            repeats = sum(w > 0 and words[w] == words[w - 1] for w in of) / max(len(of), 1)
+            x = np.concatenate((np.sqrt(counts / max(n, 1)), [n / 400, math.log1p(len(raw)) / 10, repeats]))
+            h = np.tanh((x - 0.01) * 2 @ p["W"] + p["Wb"])
+            gate = np.tanh(h @ p["V"] + p["Vb"]) / (1 + np.exp(-(h @ p["U"] + p["Ub"])))
+            encoded.append(h)
+            weights.append(math.exp((gate @ p["w"])[0]))
+        z = sum(w * h for w, h in zip(weights, encoded, strict=True)) / sum(weights)
+        assert 1 / (1 + math.exp(-((z @ p["c"])[0] + p["cb"][0]))) == pytest.approx(score, abs=1e-4)
+
+
+def test_training_reads_whole_long_documents(spark):
+    """What tells the labels apart lies behind the first 30,000 bytes."""
+    rows = [(i, "plain words of text. " * 1500 + ("##!!%% " if i % 2 else "more words. ") * 800, "s") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = quality.train_model(docs(spark, rows), labels)
+    got = quality.score_documents(docs(spark, rows), model, score_name="s1", predicted="p1").collect()
+    assert all(r.p1 == r.doc_id % 2 for r in got)
+
+
 def test_quality_of_odd_rows(spark):
     rows = docs(spark, ODD).withColumn("score", F.lit("old"))
     labels = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
