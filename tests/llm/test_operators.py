@@ -80,7 +80,7 @@ def test_line_dedup_equals_brute_force(spark):
 
 
 def test_line_dedup_of_odd_rows(spark):
-    rows = docs(spark, ODD).withColumn("gone", F.lit(7)).withColumn("line", F.lit("l"))
+    rows = docs(spark, ODD).withColumn("gone", F.lit(7)).withColumns({"line": F.lit("l"), "_id": F.lit(1), "_hash": F.lit(2), "_gone": F.lit(3), "d": F.struct(F.lit(4).alias("text"))})
     out = line_dedup.drop_repeated_lines(rows)
     assert out.columns == rows.columns and out.count() == len(ODD)
     assert {r.doc_id: r.text for r in out.collect()}[1] is None
