@@ -13,8 +13,9 @@ points of the formatted text.
 
 Defined results: null roles, texts and scores count as empty, empty and 0; a null tree id
 is a tree of its own; a node whose parent is missing is a root; of nodes with equal tree
-and node id one stays; nodes on a cycle lead to no leaf and are left out; ties of branches
-go to the smaller leaf id; an empty table gives an empty result.
+and node id the one with the smallest parent, role, text and score (nulls first) stays; nodes on a
+cycle lead to no leaf and are left out; ties of branches go to the smaller leaf id; texts of any length
+are formatted whole; columns of other names are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ def turns_to_chain(turns: DataFrame, tree: str = "conv_id", order: str = "turn",
 
 
 def leaf_paths(nodes: DataFrame) -> DataFrame:
-    """(tree_id, node_id, parent_id) -> (tree_id, leaf_id, node_id, height), height 0 at the leaf."""
-    nodes = cut(nodes.select("tree_id", "node_id", "parent_id").dropDuplicates(["tree_id", "node_id"]))
+    """(tree_id, node_id, parent_id), one row a node -> (tree_id, leaf_id, node_id, height), height 0 at the leaf."""
+    nodes = cut(nodes.select("tree_id", "node_id", "parent_id"))
     total = nodes.count()
 
     def same(a: DataFrame, b: DataFrame, left: str, right: str) -> Column:
@@ -73,7 +74,8 @@ def format_reply_trees(nodes: DataFrame, best: int | None = None) -> DataFrame:
 
     ``nodes``: tree_id, node_id, parent_id, role, text, score.  ``best`` keeps so many of the
     best branches of each tree."""
-    nodes = nodes.dropDuplicates(["tree_id", "node_id"])
+    one = F.min(F.struct("parent_id", "role", "text", F.col("score").cast("double").alias("score"))).alias("node")
+    nodes = nodes.groupBy("tree_id", "node_id").agg(one).select("tree_id", "node_id", "node.*")
     paths = leaf_paths(nodes).alias("p")
     by_leaf = Window.partitionBy("tree_id", "leaf_id")
     role, text = F.coalesce(F.col("n.role"), F.lit("")), F.coalesce(F.col("n.text"), F.lit(""))

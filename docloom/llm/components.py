@@ -21,7 +21,8 @@ def _stamp(links: DataFrame) -> tuple[int, int]:
 def connected_components(links: DataFrame) -> DataFrame:
     """Links (a, b) of comparable ids -> (node, root), root the smallest id of the component.
 
-    Links with a null or from a node to itself are ignored; ids without links have no row."""
+    Links with a null or from a node to itself are ignored, repeated ones count once; ids without links have
+    no row, so no links give an empty result."""
     links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     stamp = _stamp(links)
     while stamp[0]:

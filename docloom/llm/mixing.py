@@ -8,7 +8,8 @@ it is column expressions; the texts are never shuffled.
 Defined results: a null text has size 0; a null source is a source of its own, last in
 order; a source of size 0 has target 0 and its documents are taken 0 times; equal ids
 share one draw, so repeated rows are taken equally often; an empty table gives an empty
-result.  Columns of the input named like an added column are replaced.
+result; texts of any length are counted whole.  ``plan_mix`` replaces columns named like an added one;
+``mix_sources`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, cut, n_words
+from .common import attach, cut, fresh, n_words
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
@@ -66,14 +67,16 @@ def draw(id_column: Column, seed: str) -> Column:
 def plan_mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: str = "mix") -> DataFrame:
     """Every row of ``docs`` with size, source_size, target (its source's) and copies."""
     sized = docs.drop("size", "source_size", "target", "copies").withColumn("size", n_words(docs[text]))
+    (of,) = fresh(sized.columns, "_source")
     totals = sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
-    targets = cut(source_targets(totals, weights, most).withColumnRenamed("source", "_source"))
-    joined = attach(sized, targets, sized[source].eqNullSafe(targets["_source"])).drop("_source")
+    targets = cut(source_targets(totals, weights, most).withColumnRenamed("source", of))
+    joined = attach(sized, targets, sized[source].eqNullSafe(targets[of])).drop(of)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     return joined.withColumn("copies", (F.floor(rate) + (draw(F.col(doc_id), seed) < rate - F.floor(rate)).cast("long")).cast("long"))
 
 
-def mix_sources(docs: DataFrame, **options) -> DataFrame:
+def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, each row as often as the mix takes it."""
-    planned = plan_mix(docs, **options)
-    return planned.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{source}`").alias("source"), F.col(f"`{doc_id}`").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"))
+    planned = plan_mix(packed, **options)
+    return planned.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_whole.*")

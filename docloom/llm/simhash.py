@@ -16,7 +16,8 @@ decides its cost:
 
 Defined results: a null text counts as empty; texts without a word have fingerprint 0;
 a null doc_id takes no part in the choice of a component's smallest id, so a component
-of null ids has id null; repeated rows stay; an empty table gives an empty result.
+of null ids has id null; repeated rows stay; texts of any length are read whole; columns of other
+names are ignored; an empty table gives an empty result.  ``similar_documents`` states its own.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ Of the host rules that match, the longest decides.  If there is none, a URL that
 pattern rule matches is blocked, and any other is allowed.
 
 Defined results: a null URL or one without ``://`` has empty host and path, so no rule
-fits and it is allowed; added columns replace those of the same name; repeated rows stay.
+fits and it is allowed; of host rules of equal length those that block, then the last by text, decide;
+URLs of any length are read whole; added columns replace those of the same name, others may have any
+name; repeated rows stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 TOKEN = "[a-z0-9]+"
 
 
@@ -94,6 +98,7 @@ def rarest_token_index(urls: DataFrame, rules: Sequence[Rule]) -> dict[str, list
 def judge_urls(pages: DataFrame, url: str = "url", rules: Sequence[Rule] | None = None) -> DataFrame:
     """``pages`` with host, path, rule and verdict."""
     rules = list(default_rules() if rules is None else rules)
+    (judged,) = fresh(pages.columns, "_judged")
     parts = pages.drop("host", "path", "rule", "verdict").withColumns({"host": F.coalesce(url_host(pages[url]), F.lit("")), "path": F.coalesce(url_path(pages[url]), F.lit(""))})
     index = rarest_token_index(parts.select("host", "path"), rules)
 
@@ -110,4 +115,4 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: Sequence[Rule] | None
                 found.append((named.name, named.action) if named else (None, "block" if any(r.action == "block" for r in hits) else "allow"))
             yield pd.DataFrame(found, columns=["rule", "verdict"], dtype=object)
 
-    return parts.withColumn("_judged", decide("host", "path")).withColumns({"rule": F.col("_judged.rule"), "verdict": F.col("_judged.verdict")}).drop("_judged")
+    return parts.withColumn(judged, decide("host", "path")).withColumns({"rule": F.col(judged)["rule"], "verdict": F.col(judged)["verdict"]}).drop(judged)

@@ -235,6 +235,13 @@ def test_mix_repeats_rows_and_is_the_same_again(spark):
 # -- urls
 
 
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = docs(spark, [(i, words(10, i), f"s{i % 3}") for i in range(30)]).withColumns({c: F.lit(7) for c in ("_source", "_copy", "_whole", "copies", "target")})
+    got = mixing.mix_sources(rows).collect()
+    assert got and {(r._source, r._copy, r._whole, r.copies, r.target) for r in got} == {(7, 7, 7, 7, 7)}
+    assert {r._source for r in mixing.plan_mix(rows).collect()} == {7}
+
+
 def test_rules_of_hosts_and_paths(spark):
     cases = {
         "http://a.COM/en/x?y": ("com/en/", "block"), "https://www.example.com/en/77": ("example.com/en/7", "allow"), "https://notexample.com/en/7": ("com/en/", "block"),
@@ -445,6 +452,24 @@ def test_ties_and_bad_vectors(spark):
     assert ann.search(few, F.col("vec_id") == 0).count() == 2
 
 
+def test_recall_among_many_vectors(spark, tmp_path):
+    """100,000 vectors, half of them in planted clusters; a tenth of a per cent is scored exactly."""
+    import pandas as pd
+
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((2500, 32))
+    x = np.concatenate((np.repeat(centres, 20, 0) + 0.35 * rng.standard_normal((50_000, 32)), rng.standard_normal((50_000, 32))))
+    pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x), "vec": 1, "group": "g"}).to_parquet(tmp_path / "v.parquet")
+    got = ann.search(spark.read.parquet(str(tmp_path / "v.parquet")), F.col("vec_id") % 500 == 0).toPandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    queries = np.arange(0, len(x), 500)
+    near = unit[queries] @ unit.T
+    near[np.arange(len(queries)), queries] = -9
+    want = {q: set(np.argsort(-near[i])[:5]) for i, q in enumerate(queries)}
+    found = got.groupby("query_id").vec_id.agg(set)
+    assert len(got) == 5 * len(queries) and np.mean([len(found[q] & want[q]) / 5 for q in queries]) >= 0.9
+
+
 def test_parallel_error_is_what_the_loss_reduces():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((2000, 16))
