@@ -7,6 +7,10 @@
 4. mixing: documents are repeated or left out until the sources have their target weights;
 5. SentencePiece: every remaining row is encoded, and decoded again to see that nothing is lost.
 
+Every stage but the last returns the columns it got, whatever their names.  Null texts count as empty and
+stay null, repeated rows are one document to stages 2 and 3, texts of any length are read whole, and empty
+tables give empty results; each operator states the rest.
+
 ``run`` writes each stage's rows to a table in the session's checkpoint folder and reads them
 back, so a lost executor costs no earlier stage, and drops a table once the next one is there.
 """
@@ -20,14 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import line_dedup, mixing, pieces, quality, simhash
-from docloom.llm.common import ensure_checkpoint_dir, read
+from docloom.llm.common import ensure_checkpoint_dir, fresh, read
 from docloom.llm.queries import piece_model
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier, learned from the labels, accepts."""
     model = quality.train_model(docs, read(spark, sf_dir, "labels"))
-    return quality.score_documents(docs, model).where("predicted = 1").select(docs.columns)
+    score, predicted = fresh(docs.columns, "score", "predicted")
+    return quality.score_documents(docs, model, score_name=score, predicted=predicted).where(F.col(predicted) == 1).select(docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +40,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share 0.8 of their five-word shingles."""
+    """One document of each group of texts that share 0.8 of their five-word shingles; no such pair is lost."""
     return simhash.keep_one(docs, simhash.similar_documents(docs))
 
 
