@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -16,6 +17,10 @@ BROADCAST_BYTES = 32 << 20
 #: Rows of one key that ``spread_join`` leaves to one task.
 HOT_ROWS = 1000
 
+#: Seconds between two requests to collect garbage.
+COLLECT_EVERY = 10.0
+_collected = time.monotonic()
+
 #: Most bytes of a batch that goes to a Python worker (one row at least).
 BATCH_BYTES = 4 << 20
 
@@ -38,9 +43,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that lost executors cost nothing."""
+    """``df`` computed once and kept in the shared folder, so that lost executors cost nothing.
+
+    What came before is not needed then; the files of its shuffles go when the driver's JVM collects
+    garbage, which it is asked to from time to time, as jobs of many small shuffles fill disks before heaps."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    global _collected
+    if time.monotonic() - _collected > COLLECT_EVERY:
+        df.sparkSession._jvm.System.gc()
+        _collected = time.monotonic()
+    return kept
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` gave, once nothing reads it any more."""
+    rdd = table._jdf.queryExecution().analyzed().rdd()
+    kept = rdd.getCheckpointFile()
+    if kept.isDefined():
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(kept.get())
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(taken: Iterable[str], *names: str) -> list[str]:

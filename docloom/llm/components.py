@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
+
+#: Links in a part of the table between two rounds.
+PART = 50_000
 
 
 def _stamp(links: DataFrame) -> tuple[int, int]:
@@ -31,8 +34,10 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = both.join(least, both["a"] == least["_a"]).where("b > a").select(F.col("b").alias("a"), F.col("_least").alias("b")).where("a <> b").distinct()
         least = large.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("_least"))
         small = large.join(least, large["a"] == least["_a"]).where("b <> _least").select(F.col("b").alias("a"), F.col("_least").alias("b"))
-        links = cut(small.unionByName(least.select(F.col("_a").alias("a"), F.col("_least").alias("b"))).where("a <> b").distinct())
-        before, stamp = stamp, _stamp(links)
+        done, before = links, stamp
+        links = cut(small.unionByName(least.select(F.col("_a").alias("a"), F.col("_least").alias("b"))).where("a <> b").distinct().coalesce(1 + before[0] // PART))
+        stamp = _stamp(links)
+        discard(done)
         if stamp == before:
             break
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))

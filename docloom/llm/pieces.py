@@ -48,8 +48,8 @@ from .common import map_arrow
 SPACE = "▁"
 STRETCH = re.compile("( +)([^ ]*)")
 #: Words whose ids a worker remembers (twice as many at most), and pairs of pieces it has judged.
-MEMO = 200_000
-PAIRS = 400_000
+MEMO = 120_000
+PAIRS = 300_000
 
 
 class Pieces:
