@@ -47,6 +47,7 @@ class RoutingConfig:
 
     speculative: bool = False
     boundary_tolerance: int = 1
+    at_once: int = 8  # windows of a document asked at the same time
 
 
 @dataclass(frozen=True)

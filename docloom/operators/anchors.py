@@ -19,8 +19,19 @@ KEY = [DOC, "block_id"]
 OMITTED = r"(?i)\[(?:省略|omitted)[^\]]*\]"
 
 
+#: Marks a table of blocks that has one row for each id.
+UNIQUE = "_unique"
+
+
+def one_of_each(blocks: DataFrame) -> DataFrame:
+    """The last block of each id, marked, so that the steps that follow need not look for it again."""
+    return unique_blocks(blocks, *[c for c in blocks.columns if c not in KEY]).withColumn(UNIQUE, F.lit(True))
+
+
 def unique_blocks(blocks: DataFrame, *columns: str) -> DataFrame:
     """One block for each id, the last in the list, with the named columns."""
+    if UNIQUE in blocks.columns:
+        return blocks.select(*KEY, *columns)
     return blocks.groupBy(KEY).agg(F.max_by(F.struct(*columns), "pos").alias("_b")).select(*KEY, "_b.*")
 
 

@@ -113,10 +113,13 @@ def missing_blocks(blocks: DataFrame, assembled: DataFrame) -> DataFrame:
     return blocks.where(text != "").join(assembled, DOC, "left").where(~F.coalesce(F.contains("markdown", text), F.lit(False))).select(DOC, "pos", "block_id", "text")
 
 
-def report(evaluated: DataFrame) -> str:
-    """A Markdown table of a bounded number of documents: the 1,000 with the smallest ids."""
-    names = ["doc_id", "tp", "fp", "fn", "precision", "recall", "f1", "hierarchy_accuracy", "ted"]
-    lines = [f"| {' | '.join(names)} |", f"|{'---|' * len(names)}"]
-    for r in evaluated.orderBy(DOC).limit(1000).collect():
-        lines.append("| " + " | ".join(f"{r[n]:.4f}" if isinstance(r[n], float) else str(r[n]) for n in names) + " |")
-    return "\n".join(lines)
+#: Columns of the report, and the two lines that its table begins with.
+REPORTED = ("doc_id", "tp", "fp", "fn", "precision", "recall", "f1", "hierarchy_accuracy", "ted")
+REPORT_HEAD = f"| {' | '.join(REPORTED)} |\n|{'---|' * len(REPORTED)}"
+
+
+def report(evaluated: DataFrame) -> DataFrame:
+    """doc_id and line: a line of a Markdown table for every document, to be written behind ``REPORT_HEAD``."""
+    kinds = dict(evaluated.dtypes)
+    cells = [F.coalesce(F.format_string("%.4f", F.col(c)) if kinds[c] == "double" else F.col(c).cast("string"), F.lit("")) for c in REPORTED]
+    return evaluated.select(DOC, F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))

@@ -23,15 +23,21 @@ def section_content(closed: DataFrame, blocks: DataFrame) -> DataFrame:
     return closed.join(parts, [DOC, "ord"], "left").withColumn("content", F.coalesce("content", F.lit(""))).withColumn("section_type", section_type(F.col("title")))
 
 
-def with_parents(sections: DataFrame, levels: int = 9) -> DataFrame:
+def highest_level(sections: DataFrame) -> int:
+    """The highest level there is (1 at least): a job that reads levels alone."""
+    return max(1, sections.agg(F.max("level")).first()[0] or 1)
+
+
+def with_parents(sections: DataFrame, levels: int | None = None) -> DataFrame:
     """Adds parent_ord (the nearest earlier section of a lower level; null at the top), root_ord and
     depth (1 at the top), by windows alone.
 
     A section's chain of parents has, among the levels below its own, the sections since which
-    no lower level came; levels above ``levels`` count as that."""
+    no lower level came.  ``levels`` is the highest level, looked up if it is not given."""
+    levels = highest_level(sections) if levels is None else levels
     earlier = Window.partitionBy(DOC).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(DOC).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    level = F.greatest(F.lit(1), F.least("level", F.lit(levels)))
+    level = F.greatest(F.lit(1), F.col("level"))
     last = {k: F.last(F.when(level == k, F.col("ord")), ignorenulls=True).over(earlier) for k in range(1, levels)}
     out = sections
     for k, c in last.items():
@@ -39,7 +45,7 @@ def with_parents(sections: DataFrame, levels: int = 9) -> DataFrame:
     lasts = [F.coalesce(F.col(f"_last{k}"), F.lit(-1)) for k in last]
     # of level k on the chain: nothing of a lower level came after it
     on_chain = [F.when((lasts[k] >= 0) & (lasts[k] > F.greatest(F.lit(-2), F.lit(-3), *lasts[:k])), F.lit(1)).otherwise(0) for k in range(len(lasts))]
-    parent = F.greatest(F.lit(-1), *lasts)
+    parent = F.greatest(F.lit(-1), F.lit(-1), *lasts)
     depth = F.lit(1)
     for c in on_chain:
         depth = depth + c

@@ -481,23 +481,25 @@ def structured_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH texts AS (SELECT doc_id, '[RAW_XML_NODE: ' || ['txbxContent', 'oMath', 'sdt'][doc_id % 3 + 1] || '] ' || split_part(text, chr(10), 1) AS body FROM documents)
-SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '> **[文本框]** ' || trim(split_part(body, '] ', 2)) WHEN 1 THEN '$ ' || trim(split_part(body, '] ', 2)) || ' $' ELSE '<!-- sdt: ' || trim(split_part(body, '] ', 2)) || ' -->' END || chr(10) || 'x' AS clean FROM texts"""
+    f"""WITH {BLOCKS_SQL} SELECT doc_id, pos, CASE doc_id % 3 WHEN 0 THEN '> **[文本框]** ' || st WHEN 1 THEN '$ ' || st || ' $' ELSE '<!-- sdt: ' || st || ' -->' END || chr(10) || 'x' AS clean FROM blocks WHERE st <> ''"""
 )
 def sanitize_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every text as the body of a placeholder."""
     tag = F.element_at(F.array(F.lit("txbxContent"), F.lit("oMath"), F.lit("sdt")), (F.col("doc_id") % 3 + 1).cast("int"))
-    text = F.concat(F.lit("[RAW_XML_NODE: "), tag, F.lit("] "), F.substring_index("text", "\n", 1), F.lit("\nx"))
-    return table(spark, sf_dir, "documents").select("doc_id", MD.sanitise_placeholders(text).alias("clean"))
+    body = strip(F.col("text"))
+    text = F.concat(F.lit("[RAW_XML_NODE: "), tag, F.lit("] "), body, F.lit("\nx"))
+    return line_blocks(spark, sf_dir).where(body != "").select("doc_id", "pos", MD.sanitise_placeholders(text).alias("clean"))
 
 
 @query(
-    r"""WITH r AS (SELECT doc_id, string_split(split_part(text, chr(10), 1), ' ') AS c FROM documents), t AS (SELECT doc_id, list_slice(c, 1, 3) AS a, list_slice(c, 4, 5) AS b, list_slice(c, 6, 12) AS d FROM r)
-SELECT doc_id, '| ' || array_to_string(a, ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(a, lambda x: '---'), ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(range(len(a)), lambda i: coalesce(b[i + 1], '')), ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(range(len(a)), lambda i: coalesce(d[i + 1], '')), ' | ') || ' |' AS markdown FROM t"""
+    f"""WITH {BLOCKS_SQL}, r AS (SELECT doc_id, pos, string_split(st, ' ') AS a FROM blocks WHERE st <> ''), t AS (SELECT *, list_slice(a, 4, 5) AS b, list_slice(a, 6, len(a)) AS d FROM r)
+SELECT doc_id, pos, '| ' || array_to_string(a, ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(a, lambda x: '---'), ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(range(len(a)), lambda i: coalesce(b[i + 1], '')), ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(range(len(a)), lambda i: coalesce(d[i + 1], '')), ' | ') || ' |' AS markdown FROM t"""
 )
 def md_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = F.split(F.substring_index("text", "\n", 1), " ")
-    rows = F.array(F.slice(cells, 1, 3), F.slice(cells, 4, 2), F.slice(cells, 6, 7))
-    return table(spark, sf_dir, "documents").select("doc_id", MD.markdown_table(rows).alias("markdown"))
+    """Every line as a table: all its words as the header, two rows that are shorter."""
+    cells = F.split(strip(F.col("text")), " ")
+    rows = F.array(cells, F.slice(cells, 4, 2), F.slice(cells, F.lit(6), F.greatest(F.size(cells) - 5, F.lit(0))))
+    return line_blocks(spark, sf_dir).where(strip(F.col("text")) != "").select("doc_id", "pos", MD.markdown_table(rows).alias("markdown"))
 
 
 @query(f"WITH {HEADINGS_SQL} SELECT doc_id, ord, level, title FROM truth WHERE title <> ''")
@@ -644,27 +646,28 @@ def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH w AS (SELECT doc_id, list_slice(string_split(split_part(text, chr(10), 1), ' '), 1, 3) AS c FROM documents)
-SELECT doc_id, CASE WHEN coalesce(c[1], '') = '' THEN '' ELSE '**' || c[1] || CASE WHEN coalesce(c[2], '') <> '' THEN ' ' || c[2] ELSE '' END || '**' END || CASE WHEN coalesce(c[3], '') <> '' THEN ' *' || c[3] || '*' ELSE '' END AS markdown FROM w"""
+    f"""WITH {BLOCKS_SQL}, w AS (SELECT doc_id, pos, string_split(st, ' ') AS c FROM blocks WHERE st <> ''), x AS (SELECT *, array_to_string(list_slice(c, 3, len(c)), ' ') AS rest FROM w)
+SELECT doc_id, pos, '**' || c[1] || CASE WHEN coalesce(c[2], '') <> '' THEN ' ' || c[2] ELSE '' END || '**' || CASE WHEN trim(rest) <> '' THEN ' *' || trim(rest) || '*' ELSE '' END AS markdown FROM x"""
 )
 def render_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two bold runs with a space between them are one; the third is italic."""
-    words = F.split(F.substring_index("text", "\n", 1), " ")
-    first, second, third = (F.coalesce(F.get(words, F.lit(i)), F.lit("")) for i in range(3))
+    """Every line: two bold runs with a space between them are one; the rest is italic."""
+    words = F.split(strip(F.col("text")), " ")
+    first, second = (F.coalesce(F.get(words, F.lit(i)), F.lit("")) for i in range(2))
+    rest = F.trim(F.array_join(F.slice(words, F.lit(3), F.greatest(F.size(words) - 2, F.lit(0))), " "))
 
     def run(text, **on):
         return F.struct(text.alias("text"), *[F.lit(on.get(s, False)).alias(s) for s in R.STYLES])
 
     space = lambda x: F.when(x == "", "").otherwise(F.concat(F.lit(" "), x))
-    runs = F.array(run(first, bold=True), run(F.when(second == "", "").otherwise(F.lit(" "))), run(second, bold=True), run(space(third), italic=True))
-    rows = table(spark, sf_dir, "documents").select("doc_id", R.normalise_runs(runs, F.lit(False)).alias("runs"))
-    return rows.select("doc_id", R.merge_runs("runs").alias("runs")).select("doc_id", R.render_runs(F.col("runs")).alias("markdown"))
+    runs = F.array(run(first, bold=True), run(F.when(second == "", "").otherwise(F.lit(" "))), run(second, bold=True), run(space(rest), italic=True))
+    rows = line_blocks(spark, sf_dir).where(strip(F.col("text")) != "").select("doc_id", "pos", R.normalise_runs(runs, F.lit(False)).alias("runs"))
+    return rows.select("doc_id", "pos", R.merge_runs("runs").alias("runs")).select("doc_id", "pos", R.render_runs(F.col("runs")).alias("markdown"))
 
 
-@query(f"WITH {BLOCKS_SQL}, p AS (SELECT doc_id, pos, st, lag(st) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM blocks) SELECT doc_id, pos, round({similarity_sql('substr(st, 1, 50)', 'substr(prev, 1, 50)')}, 9) AS sim FROM p WHERE prev IS NOT NULL")
+@query(f"WITH {BLOCKS_SQL}, p AS (SELECT doc_id, pos, st, lag(st) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM blocks) SELECT doc_id, pos, round({similarity_sql('st', 'prev')}, 9) AS sim FROM p WHERE prev IS NOT NULL")
 def line_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line's likeness to the one before it."""
-    low = F.lower(head(strip(F.col("text")), 50))
+    """Each whole line's likeness to the one before it."""
+    low = F.lower(strip(F.col("text")))
     rows = line_blocks(spark, sf_dir).select("doc_id", "pos", low.alias("a"), F.lag(low).over(Window.partitionBy("doc_id").orderBy("pos")).alias("b")).where("b is not null")
     return rows.select("doc_id", "pos", F.round(similarity(F.col("a"), F.col("b")), 9).alias("sim"))
 

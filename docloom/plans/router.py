@@ -8,7 +8,9 @@ injected and called on the executors.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -72,7 +74,11 @@ class RecordedRouter:
         self.answers = answers
 
     def route(self, blocks: DataFrame, skeletons: DataFrame) -> DataFrame:
-        return answers_to_anchors(self.answers.join(skeletons.select(DOC, "window_index", "total_windows"), [DOC, "window_index"]))
+        return answers_to_anchors(self.said(skeletons))
+
+    def said(self, skeletons: DataFrame) -> DataFrame:
+        """doc_id, window_index, total_windows, answer."""
+        return skeletons.select(DOC, "window_index", "total_windows").join(self.answers.select(DOC, "window_index", "answer"), [DOC, "window_index"], "left")
 
 
 def answers_to_anchors(answers: DataFrame) -> DataFrame:
@@ -81,6 +87,19 @@ def answers_to_anchors(answers: DataFrame) -> DataFrame:
     return rows.where("c.block_id is not null").select(DOC, "window_index", "total_windows", "ord", "c.block_id", "c.level", "c.title", "c.snippet")
 
 
+def answer_titles(answers: DataFrame) -> DataFrame:
+    """doc_id, doc_title, doc_authors: what the answer for a document's first window says of it."""
+    parsed = answers.where("window_index = 0").withColumn("_a", parse_answer(F.col("answer")))
+    said = parsed.groupBy(DOC).agg(F.max(F.struct("_a.doc_title", "_a.doc_authors")).alias("_t"))
+    return said.select(DOC, F.coalesce("_t.doc_title", F.lit("")).alias("doc_title"), F.coalesce("_t.doc_authors", F.lit("")).alias("doc_authors"))
+
+
+def answer_errors(answers: DataFrame) -> DataFrame:
+    """doc_id, window_index, error: answers from which no headings can be read."""
+    wrong = F.when(F.col("answer").isNull(), F.lit("no answer")).when(parse_answer(F.col("answer")).isNull(), F.concat(F.lit("unreadable: "), F.substring("answer", 1, 200)))
+    return answers.select(DOC, "window_index", wrong.alias("error")).where("error is not null")
+
+
 #: skeleton, window index, number of windows, headings before -> answer
 Ask = Callable[[str, int, int, str], str]
 
@@ -90,17 +109,23 @@ class ModelRouter:
 
     Windows of a document are asked in turn, each told the last two headings of the last window
     that had any; or all at once, and then again in turn only where a window begins deeper than the
-    one before allows.  Write the result before using it twice: a model may answer otherwise."""
+    one before allows.  ``said`` gives the answers, from which ``answers_to_anchors``, ``answer_titles``
+    and ``answer_errors`` read; write it before using it twice: a model may answer otherwise."""
 
     def __init__(self, make_ask: Callable[[], Ask], routing: RoutingConfig = RoutingConfig()):
         self.make_ask, self.routing = make_ask, routing
 
     def route(self, blocks: DataFrame, skeletons: DataFrame) -> DataFrame:
+        return answers_to_anchors(self.said(skeletons))
+
+    def said(self, skeletons: DataFrame) -> DataFrame:
+        """doc_id, window_index, total_windows, answer."""
         make_ask, routing = self.make_ask, self.routing
+        client = _Client(make_ask)
 
         def one_document(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("window_index")
-            answers = ask_windows(make_ask(), list(rows["text"]), routing)
+            answers = ask_windows(client.get(), list(rows["text"]), routing)
             return rows[[DOC, "window_index", "total_windows"]].assign(answer=answers)
 
         schema = f"{DOC} long, window_index int, total_windows int, answer string"
@@ -108,19 +133,34 @@ class ModelRouter:
         several = skeletons.where("total_windows > 1")
 
         def single_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ask = make_ask()
+            ask = client.get()
             for rows in batches:
                 yield rows[[DOC, "window_index", "total_windows"]].assign(answer=[ask(t, 0, 1, "") for t in rows["text"]])
 
-        answers = single.mapInPandas(single_windows, schema).unionByName(several.groupBy(DOC).applyInPandas(one_document, schema))
-        return answers_to_anchors(answers)
+        return single.mapInPandas(single_windows, schema).unionByName(several.groupBy(DOC).applyInPandas(one_document, schema))
+
+
+class _Client:
+    """The function asked, made when it is first needed in a process; only how to make it is shipped."""
+
+    def __init__(self, make_ask: Callable[[], Ask]):
+        self.make_ask, self.key = make_ask, uuid.uuid4().hex
+
+    def get(self) -> Ask:
+        if self.key not in _CLIENTS:
+            _CLIENTS[self.key] = self.make_ask()
+        return _CLIENTS[self.key]
+
+
+_CLIENTS: dict[str, Ask] = {}
 
 
 def ask_windows(ask: Ask, texts: list[str], routing: RoutingConfig = RoutingConfig()) -> list[str]:
     """The answers of a document's windows."""
     total = len(texts)
     if routing.speculative and total > 2:
-        answers = [ask(t, i, total, "") for i, t in enumerate(texts)]
+        with ThreadPoolExecutor(min(total, routing.at_once)) as pool:
+            answers = list(pool.map(lambda i: ask(texts[i], i, total, ""), range(total)))
         for i in range(1, total):
             before, here = _levels(answers[i - 1]), _levels(answers[i])
             if before and here and here[0][0] > before[-1][0] + routing.boundary_tolerance:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import runs as R
 from docloom.sources import docx as D
-from docloom.sources.json_blocks import read_requests, read_truth, request_blocks
+from docloom.sources.json_blocks import read_requests, read_truth, refused_blocks, request_blocks
 from docloom.sources.text import read_text, text_blocks
 
 W = f'xmlns:w="{D.W}" xmlns:m="{D.M}" xmlns:a="{D.A}" xmlns:r="{D.R}" xmlns:wp="{D.WP}" xmlns:v="{D.V}"'
@@ -109,6 +109,8 @@ def test_requests_and_truth(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({"title": "T", "blocks": [{"id": 7, "type": "text", "text": "x", "font_size": 14}, {"id": 9, "type": "odd"}]}))
     got = request_blocks(read_requests(spark, str(tmp_path / "r.json"))).collect()
     assert [(b.pos, b.block_id, b.text, b.font_size, b.is_bold) for b in got] == [(0, 7, "x", 14.0, False)]
+    refused = refused_blocks(read_requests(spark, str(tmp_path / "r.json"))).collect()
+    assert [(b.pos, b.error) for b in refused] == [(1, "unknown type: odd")]
     (tmp_path / "gt").mkdir()
     (tmp_path / "gt" / "doc.json").write_text(json.dumps({"doc_title": "T", "headings": [{"block_id": 0, "title": "A", "level": 1}]}))
     assert [(x.stem, x.block_id, x.title) for x in read_truth(spark, str(tmp_path / "gt")).collect()] == [("doc", 0, "A")]
