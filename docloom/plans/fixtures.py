@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from ..config import SkeletonConfig
 from ..functions.text import SPACE, head, strip
 from ..schema import BLOCK_FIELDS
+from ..session import spread
 
 WINDOWS = SkeletonConfig(window_threshold=20, window_size=15, window_overlap=3)
 NUMBERING = ("1. ", "1.2.3 ", "(a) ", "[1] ", "§3.2 ", "第三章 ", "• ", "")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,3 +25,16 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that lost executors cost nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Bytes for a core, up to which a table in fewer files than there are cores is dealt over all of them.
+SPREAD_BYTES = 128 << 20
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table read from files; small ones in a few files, which one task each would read, over all cores.
+
+    The sizes are those that Spark's own listing of the files has; large tables stay as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores) if size <= cores * SPREAD_BYTES and len(table.inputFiles()) < cores else table
