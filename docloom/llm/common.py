@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 #: Most rows and bytes a side may have to be broadcast; both are measured.
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 << 20
@@ -120,4 +122,4 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
