@@ -42,8 +42,8 @@ STRICT = {
     b"http://purl.oclc.org/ooxml/drawingml/picture": PIC.encode(),
 }
 #: Fonts of code, elements of the body without content, alignments.
-MONO = frozenset("courier|courier new|consolas|monaco|lucida console|dejavu sans mono|menlo|source code pro|fira code|jetbrains mono|等线".split("|"))
-EMPTY = frozenset("bookmarkStart bookmarkEnd proofErr permStart permEnd commentRangeStart commentRangeEnd customXml moveFromRangeStart moveFromRangeEnd moveToRangeStart moveToRangeEnd lastRenderedPageBreak sectPr".split())
+MONO = frozenset({"courier", "courier new", "consolas", "monaco", "lucida console", "dejavu sans mono", "menlo", "source code pro", "fira code", "jetbrains mono", "等线"})
+EMPTY = frozenset({"bookmarkStart", "bookmarkEnd", "proofErr", "permStart", "permEnd", "commentRangeStart", "commentRangeEnd", "customXml", "moveFromRangeStart", "moveFromRangeEnd", "moveToRangeStart", "moveToRangeEnd", "lastRenderedPageBreak", "sectPr"})
 ALIGN = {"left": "left", "start": "left", "center": "center", "right": "right", "end": "right", "both": "justify", "justify": "justify"}
 PICTURES = {"png": "png", "jpg": "jpeg", "jpeg": "jpeg", "gif": "gif", "bmp": "bmp", "svg": "svg+xml", "tif": "tiff", "tiff": "tiff", "emf": "x-emf", "wmf": "x-wmf"}
 
@@ -63,11 +63,18 @@ def _flag(parent: ET.Element | None, name: str) -> bool | None:
     return None if value is None else value.lower() not in ("0", "false", "off", "none")
 
 
+def _font(props: ET.Element | None) -> str:
+    """The first font that is named."""
+    fonts = props.find(_w("rFonts")) if props is not None else None
+    return "" if fonts is None else next((n for n in (fonts.get(_w(k), "") for k in ("ascii", "hAnsi", "eastAsia", "cs")) if n), "")
+
+
 @dataclass
 class Style:
     name: str = ""
     bold: bool | None = None
     size: float | None = None
+    font: str = ""
 
 
 @dataclass
@@ -81,6 +88,7 @@ class Run:
     sub: bool = False
     code: bool = False
     size: float | None = None
+    font: str = ""  # its own, if it names one
     plain: bool = False  # formulas and pictures inside the text: no marks
 
     @property
@@ -123,7 +131,7 @@ class Package:
             props = s.find(_w("rPr"))
             size = _value(props, "sz")
             key = s.get(_w("styleId"), "")
-            out[key] = Style(_value(s, "name") or "", _flag(props, "b"), float(size) / 2 if size else None)
+            out[key] = Style(_value(s, "name") or "", _flag(props, "b"), float(size) / 2 if size else None, _font(props))
             based[key] = _value(s, "basedOn")
         for key, style in out.items():  # what a style does not say its base says
             seen, up = {key}, based[key]
@@ -131,6 +139,7 @@ class Package:
                 seen.add(up)
                 style.bold = out[up].bold if style.bold is None else style.bold
                 style.size = out[up].size if style.size is None else style.size
+                style.font = style.font or out[up].font
                 up = based[up]
         return out
 
@@ -212,7 +221,7 @@ class Reader:
         shown = [r for r in runs if r.text.strip() and not r.plain]
         share = lambda good: bool(shown) and sum(map(good, shown)) >= 0.8 * len(shown)
         bold = share(lambda r: bool(style.bold if r.bold is None else r.bold))
-        code = share(lambda r: r.code)
+        code = share(lambda r: r.code or (not r.font and style.font.lower() in MONO))
         sizes = [r.size for r in shown if r.size]
         heading = re.fullmatch(r"heading\s+(\d+)", style.name, re.IGNORECASE)
         level = props.find(f"{_w('numPr')}/{_w('ilvl')}") if props is not None else None
@@ -257,9 +266,8 @@ class Reader:
     def _run(self, r: ET.Element, out: list[Run]) -> bool:
         props, pictures = r.find(_w("rPr")), False
         size, place = _value(props, "sz"), _value(props, "vertAlign")
-        fonts = props.find(_w("rFonts")) if props is not None else None
-        names = [fonts.get(_w(k), "") for k in ("ascii", "hAnsi", "eastAsia", "cs")] if fonts is not None else []
-        styled = {"bold": _flag(props, "b"), "italic": _flag(props, "i") is True, "underline": _flag(props, "u") is True, "strike": _flag(props, "strike") is True, "sup": place == "superscript", "sub": place == "subscript", "code": next((n for n in names if n), "").lower() in MONO, "size": float(size) / 2 if size else None}
+        font = _font(props)
+        styled = {"bold": _flag(props, "b"), "italic": _flag(props, "i") is True, "underline": _flag(props, "u") is True, "strike": _flag(props, "strike") is True, "sup": place == "superscript", "sub": place == "subscript", "code": font.lower() in MONO, "font": font, "size": float(size) / 2 if size else None}
         text = ""
         for child in r:
             name = child.tag.rpartition("}")[2]

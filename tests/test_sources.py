@@ -20,14 +20,14 @@ STYLES = f"""<w:styles {W}><w:style w:styleId="H1"><w:name w:val="heading 1"/><w
 PNG = base64.b64decode("iVBORw0KGgo=")
 
 
-def docx(body, strict=False, rels=""):
+def docx(body, strict=False, rels="", styles=STYLES):
     xml = f"<w:document {W}><w:body>{body}<w:sectPr/></w:body></w:document>"
     if strict:
         xml = xml.replace(D.W, "http://purl.oclc.org/ooxml/wordprocessingml/main")
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("word/document.xml", xml)
-        z.writestr("word/styles.xml", STYLES)
+        z.writestr("word/styles.xml", styles)
         z.writestr("word/_rels/document.xml.rels", f'<Relationships xmlns="{D.PKG}">{rels}</Relationships>')
         z.writestr("word/media/p.png", PNG)
     return out.getvalue()
@@ -139,3 +139,29 @@ def test_limiter_and_documents_as_streams(spark, tmp_path):
     q = structure_stream(texts, lambda s, n: seen.extend(r.title for r in s.sections.orderBy("ord").collect()), str(tmp_path / "c2"), once=True)
     assert q.awaitTermination(60)
     assert seen == ["1. Start", "2. End"]
+
+
+def test_a_folder_of_several_kinds(spark, tmp_path):
+    from docloom.sources.folder import file_titles, list_documents, read_documents, truth_of
+
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "sub" / "a b.docx").write_bytes(docx("<w:p><w:r><w:t>word</w:t></w:r></w:p>"))
+    (tmp_path / "in" / "c.TXT").write_text("text")
+    (tmp_path / "in" / "d.docx").write_bytes(b"no zip")
+    (tmp_path / "in" / "e.pdf").write_bytes(b"%PDF")
+    files = list_documents(spark, str(tmp_path / "in"))
+    stems = {r.doc_id: r.stem for r in files.select("doc_id", "stem").collect()}
+    assert sorted(stems.values()) == ["a b", "c", "d", "e"]
+    got = {stems[r.doc_id]: (r.text, (r.error or "")[:13]) for r in read_documents(files).collect()}
+    assert got == {"a b": ("word", ""), "c": ("text", ""), "d": (None, "not a Word fi"), "e": (None, "no reader for")}
+    assert {r.doc_title for r in file_titles(files, F.when(F.col("stem") == "c", F.lit("Given"))).collect()} == {"a b", "Given", "d", "e"}
+    (tmp_path / "gt").mkdir()
+    (tmp_path / "gt" / "c.json").write_text(json.dumps({"headings": [{"block_id": 0, "title": "A", "level": 1}]}))
+    assert [(stems[r.doc_id], r.title) for r in truth_of(files, read_truth(spark, str(tmp_path / "gt"))).collect()] == [("c", "A")]
+
+
+def test_code_by_the_font_of_the_style():
+    with_font = STYLES.replace("</w:styles>", '<w:style w:styleId="Code"><w:name w:val="Code"/><w:rPr><w:rFonts w:ascii="Consolas"/></w:rPr></w:style><w:style w:styleId="Sub"><w:name w:val="Sub"/><w:basedOn w:val="Code"/></w:style></w:styles>')
+    body = '<w:p><w:pPr><w:pStyle w:val="Sub"/></w:pPr><w:r><w:t>x = 1</w:t></w:r></w:p><w:p><w:pPr><w:pStyle w:val="Sub"/></w:pPr><w:r><w:rPr><w:rFonts w:ascii="Arial"/></w:rPr><w:t>plain</w:t></w:r></w:p>'
+    got = read(body, styles=with_font)
+    assert [(b["type"], b["text"]) for b in got] == [("code", "x = 1"), ("text", "plain")]
