@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.features import section_type
 from ..functions.text import text_or_empty
 from .anchors import close_intervals, in_order
-from .tree import section_content, to_paper, with_parents
+from .tree import highest_level, section_content, to_paper, with_parents
 
 DOC = "doc_id"
 
@@ -21,7 +21,7 @@ def paper_from_sections(sections: DataFrame, meta: DataFrame) -> DataFrame:
     types are filled in.  ``meta``: doc_id, doc_title, doc_authors."""
     kind = F.col("section_type") if "section_type" in sections.columns else F.lit(None).cast("string")
     filled = sections.withColumn("section_type", F.coalesce(kind, section_type(text_or_empty(F.col("title")), bibliography=False)))
-    return to_paper(with_parents(filled), meta)
+    return to_paper(with_parents(filled, highest_level(sections)), meta)
 
 
 def paper_from_headings(headings: DataFrame, blocks: DataFrame, meta: DataFrame, file_title: str = "doc_title") -> DataFrame:
@@ -34,4 +34,4 @@ def paper_from_headings(headings: DataFrame, blocks: DataFrame, meta: DataFrame,
     both = closed.select(single.columns).unionByName(single)
     made = section_content(both, blocks.where("type <> 'code'"))
     kinds = made.withColumn("section_type", section_type(F.col("title"), bibliography=False))
-    return to_paper(with_parents(kinds), meta)
+    return to_paper(with_parents(kinds, highest_level(both)), meta)

@@ -96,28 +96,19 @@ def to_markdown_sections(sections: DataFrame) -> DataFrame:
 
 
 def to_json(sections: DataFrame, meta: DataFrame) -> DataFrame:
-    """doc_id, json: the sections nested in their parents, built from the deepest level up.
+    """doc_id, json: the sections nested in their parents.
 
-    The levels are as many as there are, so the loop has as many steps as a tree is deep."""
+    In order, a section opens its object and its list of children; behind it, as many are closed as the
+    depth of the next section says, so one window and one aggregation write trees of any depth."""
     fields = ["title", "level", "start_block_id", "end_block_id", "content", "section_type"]
     body = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
-    rows = sections.select(DOC, "ord", "parent_ord", "depth", body.alias("_body"))
-    deepest = rows.agg(F.max("depth")).first()[0] or 0
-    done = None
-    for depth in range(deepest, 0, -1):
-        here = rows.where(F.col("depth") == depth)
-        if done is not None:
-            inner = done.groupBy(DOC, F.col("parent_ord").alias("ord")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("ord").alias("_o"), "_json"))), lambda x: x["_json"]), ",").alias("_inner"))
-            here = here.join(inner, [DOC, "ord"], "left")
-        else:
-            here = here.withColumn("_inner", F.lit(None).cast("string"))
-        closed = F.concat(F.substring("_body", F.lit(1), F.length("_body") - 1), F.lit(',"children":['), F.coalesce("_inner", F.lit("")), F.lit("]}"))
-        done = here.select(DOC, "ord", "parent_ord", closed.alias("_json"))
-    if done is None:
-        return sections.select(DOC, F.lit("").alias("json"))
-    whole = done.groupBy(DOC).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "_json"))), lambda x: x["_json"]), ",").alias("_sections"))
+    opened = F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit(',"children":['))
+    following = F.lead("depth").over(Window.partitionBy(DOC).orderBy("ord"))
+    close = lambda n: F.repeat(F.lit("]}"), n)
+    closed = F.when(following.isNull(), close(F.col("depth"))).when(following > F.col("depth"), "").otherwise(F.concat(close(F.col("depth") - following + 1), F.lit(",")))
+    pieces = sections.withColumn("_piece", F.concat(opened, closed)).groupBy(DOC).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "_piece"))), lambda x: x["_piece"]), "").alias("_sections"))
     title = F.to_json(F.struct(text_or_empty(F.col("doc_title")).alias("doc_title"), text_or_empty(F.col("doc_authors")).alias("doc_authors")))
-    return whole.join(meta, DOC, "left").select(DOC, F.concat(F.substring(title, F.lit(1), F.length(title) - 1), F.lit(',"sections":['), "_sections", F.lit("]}")).alias("json"))
+    return pieces.join(meta, DOC, "left").select(DOC, F.concat(F.substring(title, F.lit(1), F.length(title) - 1), F.lit(',"sections":['), "_sections", F.lit("]}")).alias("json"))
 
 
 def to_paper(sections: DataFrame, meta: DataFrame) -> DataFrame:

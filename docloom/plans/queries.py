@@ -418,7 +418,7 @@ _DEPTHS = """depths AS (
 
 def _sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     blocks, closed = _closed(spark, sf_dir)
-    return blocks, TR.with_parents(TR.section_content(closed, blocks))
+    return blocks, TR.with_parents(TR.section_content(closed, blocks), TR.highest_level(closed))
 
 
 @query(f"WITH {HEADINGS_SQL}, {_CONTENT} SELECT doc_id, ord, title, content FROM sections")
@@ -453,14 +453,29 @@ def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TR.to_markdown_sections(_sections(spark, sf_dir)[1]).select("doc_id", "root_ord", "title", "content")
 
 
-@query()
+_KIND = "CASE WHEN contains(lower(title), 'abstract') OR contains(title, '摘要') THEN 'abstract' WHEN contains(lower(title), 'reference') OR contains(lower(title), 'bibliography') THEN 'reference' WHEN contains(lower(title), 'appendix') THEN 'appendix' WHEN contains(lower(title), 'acknowledgment') THEN 'acknowledgment' ELSE 'section' END"
+
+
+@query(
+    f"""WITH RECURSIVE {HEADINGS_SQL}, {_CONTENT}, {_DEPTHS}, opened AS (
+    SELECT doc_id, ord, depth, lead(depth) OVER (PARTITION BY doc_id ORDER BY ord) AS following,
+        CAST(to_json({{'title': title, 'level': level, 'start_block_id': start_block_id, 'end_block_id': end_block_id, 'content': content, 'section_type': {_KIND}}}) AS VARCHAR) AS body FROM tree
+), pieces AS (
+    SELECT doc_id, ord, substr(body, 1, length(body) - 1) || ',"children":[' || CASE WHEN following IS NULL THEN repeat(']}}', depth) WHEN following > depth THEN '' ELSE repeat(']}}', depth - following + 1) || ',' END AS piece FROM opened
+) SELECT doc_id, '{{"doc_title":"","doc_authors":"","sections":[' || string_agg(piece, '' ORDER BY ord) || ']}}' AS json FROM pieces GROUP BY doc_id"""
+)
 def document_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, sections = _sections(spark, sf_dir)
     meta = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("doc_title"), F.lit("").alias("doc_authors"))
     return TR.to_json(sections, meta)
 
 
-@query()
+def _uid_sql(ord_: str) -> str:
+    h = f"sha256(doc_id || ':' || {ord_})"
+    return " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+
+
+@query(f"WITH {HEADINGS_SQL}, {_CONTENT} SELECT doc_id, '' AS doc_title, '' AS doc_authors, ord, {_uid_sql('ord')} AS id, CASE WHEN parent_ord IS NOT NULL THEN {_uid_sql('parent_ord')} END AS parent_id, title, content, {_KIND} AS type, level FROM nested")
 def paper_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, sections = _sections(spark, sf_dir)
     meta = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("doc_title"), F.lit("").alias("doc_authors"))
