@@ -19,9 +19,11 @@ def limit_requests(events: DataFrame, key: str, ts: str, order: str, cfg: Limite
     span = float(cfg.seconds)
     starts = F.expr(f"aggregate(_ts, named_struct('at', cast(null as double), 'out', cast(array() as array<double>)), (s, t) -> if(s.at is null or t - s.at >= {span}D, named_struct('at', t, 'out', concat(s.out, array(t))), s)).out")
     begins = rows.where("_t is not null").groupBy(key).agg(F.array_sort(F.collect_set("_t")).alias("_ts")).select(F.col(key).alias("_key"), F.posexplode(starts).alias("_w", "_begin"))
-    begins = begins.withColumn("_end", F.lead("_begin").over(Window.partitionBy("_key").orderBy("_begin")))
-    joined = rows.join(begins, rows[key].eqNullSafe(begins["_key"]) & (F.col("_t") >= F.col("_begin")) & (F.col("_end").isNull() | (F.col("_t") < F.col("_end"))))
-    number = F.row_number().over(Window.partitionBy("_key", "_begin").orderBy("_t", order))
+    # the events that begin a window are marked by an equi-join, the others take the last mark before them
+    marked = rows.where("_t is not null").join(begins, rows[key].eqNullSafe(begins["_key"]) & (F.col("_t") == F.col("_begin")), "left")
+    so_far = Window.partitionBy(key).orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = marked.withColumn("_begin", F.last("_begin", ignorenulls=True).over(so_far))
+    number = F.row_number().over(Window.partitionBy(key, "_begin").orderBy("_t", order))
     used = joined.withColumn("_n", number)
     allowed = F.col("_n") <= cfg.most
     retry = F.when(allowed, 0).otherwise(F.floor(F.lit(span) - (F.col("_t") - F.col("_begin"))) + 1)
