@@ -7,6 +7,8 @@ over its text).
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,37 +57,59 @@ def in_order(anchors: DataFrame) -> DataFrame:
     return anchors.withColumn("ord", F.row_number().over(Window.partitionBy(DOC).orderBy("block_id", "ord")).cast("int"))
 
 
-def anchor_matches(text: Column, needle: Column, cfg: ResolverConfig = ResolverConfig()) -> Column:
+def alike(a: Column, b: Column) -> Column:
+    """Similarity whatever the case."""
+    return similarity(F.lower(a), F.lower(b))
+
+
+def anchor_matches(text: Column, needle: Column, cfg: ResolverConfig = ResolverConfig(), alike: Callable[[Column, Column], Column] = alike) -> Column:
     """Whether a block's stripped text is what the snippet says."""
-    alike = similarity(F.lower(needle), F.lower(head(text, F.length(needle) + 10))) >= cfg.match_similarity
-    return (text != "") & (F.contains(text, needle) | F.startswith(text, head(needle, 20)) | ((F.length(needle) > cfg.short_snippet) & alike))
+    near = alike(needle, head(text, F.length(needle) + 10)) >= cfg.match_similarity
+    return (text != "") & (F.contains(text, needle) | F.startswith(text, head(needle, 20)) | ((F.length(needle) > cfg.short_snippet) & near))
 
 
-def candidate_score(text: Column, needle: Column, offset: Column, radius: Column | int) -> Column:
-    """Similarity to the block's beginning, less a little for blocks further away."""
-    radius = radius if isinstance(radius, Column) else F.lit(radius)
-    plain = similarity(F.lower(needle), F.lower(head(text, F.length(needle) + 10)))
-    score = F.when(F.contains(text, needle) | F.startswith(text, head(needle, 15)), F.greatest(plain, F.lit(0.95))).otherwise(plain)
+def candidate_score(text: Column, needle: Column, alike: Callable[[Column, Column], Column] = alike) -> Column:
+    """Similarity to the block's beginning."""
+    plain = alike(needle, head(text, F.length(needle) + 10))
+    return F.when(F.contains(text, needle) | F.startswith(text, head(needle, 15)), F.greatest(plain, F.lit(0.95))).otherwise(plain)
+
+
+def less_far(score: Column, offset: Column, radius: int) -> Column:
+    """The score less a little for blocks further away."""
     far = (offset > radius * 0.3) & (score < 1.0)
-    return F.when(far, score - offset / F.greatest(radius, F.lit(1)) * 0.1).otherwise(score)
+    return F.when(far, score - offset / max(radius, 1) * 0.1).otherwise(score)
 
 
-def correct_anchors(anchors: DataFrame, blocks: DataFrame, cfg: ResolverConfig = ResolverConfig()) -> DataFrame:
-    """Anchors whose block does not say what their snippet says move to the best block within
-    ``radius`` ids (the smallest id among equals); others, and those without one, stay.
+def best_blocks(anchors: DataFrame, blocks: DataFrame, radii: Sequence[int], cfg: ResolverConfig = ResolverConfig(), as_given: bool = False, alike: Callable[[Column, Column], Column] = alike) -> DataFrame:
+    """Anchors with ``_found``: for each radius the block they belong to, as ``correct_anchors`` has it.
 
-    A band join made of equi-joins: each unmatched anchor looks up the ids around it."""
+    A band join made of equi-joins: each unmatched anchor looks up the ids around it, once for all
+    radii.  ``as_given`` takes snippets as they are, with white space at their ends and empty ones."""
     texts = unique_blocks(blocks, "text").select(*KEY, strip(text_or_empty(F.col("text"))).alias("_text"))
     extent = blocks.groupBy(DOC).agg(F.max("block_id").alias("_max"))
-    asked = anchors.withColumn("_needle", F.when(text_or_empty(F.col("snippet")) != "", strip(F.col("snippet"))).otherwise(strip(text_or_empty(F.col("title")))))
-    own = asked.join(texts, KEY, "left").withColumn("_fits", (F.col("_needle") == "") | F.coalesce(anchor_matches(F.col("_text"), F.col("_needle"), cfg), F.lit(False))).drop("_text")
+    stripped = F.when(text_or_empty(F.col("snippet")) != "", strip(F.col("snippet"))).otherwise(strip(text_or_empty(F.col("title"))))
+    asked = anchors.withColumn("_needle", text_or_empty(F.col("snippet")) if as_given else stripped)
+    fits = F.coalesce(anchor_matches(F.col("_text"), F.col("_needle"), cfg, alike), F.lit(False))
+    own = asked.join(texts, KEY, "left").withColumn("_fits", fits if as_given else (F.col("_needle") == "") | fits).drop("_text")
     unsure = own.where("not _fits").join(extent, DOC).select(DOC, "ord", "_needle", F.col("block_id").alias("_centre"), "_max")
-    around = unsure.withColumn("_low", F.greatest(F.lit(0), F.col("_centre") - cfg.radius)).withColumn("_high", F.least(F.col("_max"), F.col("_centre") + cfg.radius)).where("_low <= _high")
+    around = unsure.withColumn("_low", F.greatest(F.lit(0), F.col("_centre") - max(radii))).withColumn("_high", F.least(F.col("_max"), F.col("_centre") + max(radii))).where("_low <= _high")
     tried = around.withColumn("block_id", F.explode(F.sequence("_low", "_high"))).join(texts, KEY).where("_text <> ''")
-    scored = tried.withColumn("_score", candidate_score(F.col("_text"), F.col("_needle"), F.abs(F.col("block_id") - F.col("_centre")), cfg.radius))
-    best = scored.where(F.col("_score") > 0).groupBy(DOC, "ord").agg(F.max(F.struct("_score", (-F.col("block_id")).alias("_id"))).alias("_best")).where(F.col("_best._score") >= cfg.least_similarity)
-    moved = own.join(best.select(DOC, "ord", (-F.col("_best._id")).alias("_to")), [DOC, "ord"], "left")
-    return moved.withColumn("block_id", F.coalesce("_to", "block_id")).select(anchors.columns)
+    scored = tried.select(DOC, "ord", "block_id", F.abs(F.col("block_id") - F.col("_centre")).alias("_far"), candidate_score(F.col("_text"), F.col("_needle"), alike).alias("_plain"))
+    best = scored.groupBy(DOC, "ord").agg(*[_best(radius).alias(f"_best{i}") for i, radius in enumerate(radii)])
+    found = [F.coalesce(F.when(F.col(f"_best{i}._score") >= cfg.least_similarity, -F.col(f"_best{i}._id")), F.col("block_id")) for i in range(len(radii))]
+    return own.join(best, [DOC, "ord"], "left").select(*anchors.columns, F.array(*found).alias("_found"))
+
+
+def _best(radius: int) -> Column:
+    score = less_far(F.col("_plain"), F.col("_far"), radius)
+    return F.max(F.when((F.col("_far") <= radius) & (score > 0), F.struct(score.alias("_score"), (-F.col("block_id")).alias("_id"))))
+
+
+def correct_anchors(anchors: DataFrame, blocks: DataFrame, cfg: ResolverConfig = ResolverConfig(), as_given: bool = False, alike: Callable[[Column, Column], Column] = alike) -> DataFrame:
+    """Anchors whose block does not say what their snippet says move to the best block within
+    ``radius`` ids (the smallest id among equals); others, and those without one, stay."""
+    found = best_blocks(anchors, blocks, [cfg.radius], cfg, as_given, alike)
+    return found.withColumn("block_id", F.col("_found")[0]).select(anchors.columns)
 
 
 def should_restore(title: Column, snippet: Column, full: Column) -> Column:
